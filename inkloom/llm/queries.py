@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .near_dup import p1_found
+from .sentences import p3_found
 
-QUERIES = {"p1_found": p1_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
 ORACLE: dict[str, str] = {}
