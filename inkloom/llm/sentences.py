@@ -12,7 +12,7 @@ Quadratic steps are limited to the number of units of one text (offsets are pref
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import runtime
@@ -72,49 +72,59 @@ def _pair(kind: str) -> list[tuple[str, str]]:
     return steps
 
 
-def _steps() -> list[tuple[str, str]]:
-    """(pattern, replacement) in order. Each pattern begins with a literal or a class, so that it fails fast."""
+def _groups() -> list[tuple[str, list[tuple[str, str]]]]:
+    """(condition, steps) in order: steps, (pattern, replacement), run on texts in which the condition is found.
+
+    Each pattern begins with a literal or a class, so that it fails fast.
+    """
     space = r"[\s\x{a0}\x{3000}\x{2000}-\x{200a}\x{202f}]"
-    s: list[tuple[str, str]] = []
-    # 1. Masks.
-    s.append((r"[.．](?<=[0-9０-９].)(?=[0-9０-９])|\.(?<=[\p{L}\p{N}_]\.)(?=[\p{Ll}\p{N}_/])|\?(?<=[/.\w-]\?)(?=\w)", DOT))
-    s.append((rf"\.(?=\.)|\.(?<=[.{DOT}]\.)(?={space}*\p{{Ll}})", DOT))
-    s.append((rf"\.(?=[0-9]|{space}|$)(?<=(?:^|[^\p{{L}}\p{{M}}])(?:{'|'.join(ABBREVIATIONS)})\.)", DOT))
-    s.append((rf"\.(?<=(?:^|[^\p{{L}}\p{{M}}\p{{N}}.{DOT}])\p{{IsLatin}}\.)(?={space}*\p{{IsLatin}})", DOT))
-    s.append((rf"\.(?<=[0-9]\.)(?={space}(?:{'|'.join(MONTHS)}))", DOT))
-    s.append((r"!(?=!\s)(?<=\s!)|!(?<=\s!!)(?=\s)|!(?<=<!)|!(?=\[)|!(?<=(?:^|\n)!)", MARK))
-    for kind in KINDS:
-        s += _pair(kind)
+    point = [
+        (r"[.．](?<=[0-9０-９].)(?=[0-9０-９])|\.(?<=[\p{L}\p{N}_]\.)(?=[\p{Ll}\p{N}_/])|\?(?<=[/.\w-]\?)(?=\w)", DOT),
+        (rf"\.(?=\.)|\.(?<=[.{DOT}]\.)(?={space}*\p{{Ll}})", DOT),
+        (rf"\.(?=[0-9]|{space}|$)(?<=(?:^|[^\p{{L}}\p{{M}}])(?:{'|'.join(ABBREVIATIONS)})\.)", DOT),
+        (rf"\.(?<=(?:^|[^\p{{L}}\p{{M}}\p{{N}}.{DOT}])\p{{IsLatin}}\.)(?={space}*\p{{IsLatin}})", DOT),
+        (rf"\.(?<=[0-9]\.)(?={space}(?:{'|'.join(MONTHS)}))", DOT),
+    ]
+    bang = [(r"!(?=!\s)(?<=\s!)|!(?<=\s!!)(?=\s)|!(?<=<!)|!(?=\[)|!(?<=(?:^|\n)!)", MARK)]
+    out = [("[.．?]", point), ("!", bang)]
+    out += [("[" + KINDS[kind][0].replace("(", r"\(") + "]", _pair(kind)) for kind in KINDS]
     closers = "[」』）)】》〉”’»]*"
-    # 2. Separators: scripts without spaces, then scripts with spaces.
-    s.append((rf"([{FULL}][{ALL}]*{closers})", f"$1{SEP}"))
-    s.append((rf"([!?]+[\"”’»)]*)(?={space}|$|[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsHangul}}])", f"$1{SEP}"))
-    s.append((rf"(\.[\"”’»)]*)(?={space}+(?!\p{{Ll}})(?!{space})|{space}*$)", f"$1{SEP}"))
-    s.append((r"\.(?<=[\p{Ll}\p{M}]{2}\.)(?=\p{Lu}\p{Ll})", f".{SEP}"))
+    # Separators: scripts without spaces, then scripts with spaces.
+    out.append((f"[{FULL}]", [(rf"([{FULL}][{ALL}]*{closers})", f"$1{SEP}")]))
+    out.append(("[!?]", [(rf"([!?]+[\"”’»)]*)(?={space}|$|[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsHangul}}])", f"$1{SEP}")]))
+    out.append((r"\.", [
+        (rf"(\.[\"”’»)]*)(?={space}+(?!\p{{Ll}})(?!{space})|{space}*$)", f"$1{SEP}"),
+        (r"\.(?<=[\p{Ll}\p{M}]{2}\.)(?=\p{Lu}\p{Ll})", f".{SEP}"),
+    ]))
     # Thai: a space parts sentences unless it stands at a name or number.
-    s.append((r"(\p{IsThai})(?=\s+\p{IsThai})", f"$1{SEP}"))
-    s.append((r"(ครับ|ค่ะ|คะ)(?=\s)", f"$1{SEP}"))
+    out.append((r"[\x{e01}-\x{e5b}]", [(r"([\x{e01}-\x{e5b}])(?=\s+[\x{e01}-\x{e5b}])", f"$1{SEP}"), (r"(ครับ|ค่ะ|คะ)(?=\s)", f"$1{SEP}")]))
     # A Latin quotation that ends with a point ends its sentence if no small letter follows.
-    s.append((rf"({KINDS['d'][2][2]})(?={space}+(?!\p{{Ll}})(?!{space})|{space}*$)", f"$1{SEP}"))
-    # 3. Line breaks: after an emoticon, a closing bracket, a Japanese predicate; around markup lines.
+    stop = KINDS["d"][2][2]
+    out.append((stop, [(rf"({stop})(?={space}+(?!\p{{Ll}})(?!{space})|{space}*$)", f"$1{SEP}")]))
+    # Line breaks: after an emoticon, a closing bracket, a Japanese predicate; around markup lines.
     ended = "".join(code[2:] for _, _, code in KINDS.values()) + KINDS["c"][2][1]
-    s.append((rf"\n(?<=[\p{{So}}♪♡♥☆★wｗ\x{{1f000}}-\x{{1faff}}\x{{fe0f}}{ended})）たすんるいうくぐつぬぶむだ][ \t\x{{3000}}]{{0,9}}\n)", f"\n{SEP}"))
-    s.append((r"\n(?=[ \t]*(?:©|\||!|\{\||\|\}|==|--+|<!--|:::|\[[^\]\n]+\]:))", f"\n{SEP}"))
-    s.append((r"(?m)(^[ \t]*(?:\||" + MARK + r"|\{\||==|<!--|-->|\\\w+\{)[^\n]*\n|[=}>]\n|^[^\n|]*\|[^\n|]*\|[^\n]*\n)", f"$1{SEP}"))
-    # 4. Quotations and brackets that stand alone or after a colon.
+    out.append((r"\n", [
+        (rf"\n(?<=[\p{{So}}♪♡♥☆★wｗ\x{{1f000}}-\x{{1faff}}\x{{fe0f}}{ended})）たすんるいうくぐつぬぶむだ][ \t\x{{3000}}]{{0,9}}\n)", f"\n{SEP}"),
+        (r"\n(?=[ \t]*(?:©|\||!|\{\||\|\}|==|--+|<!--|:::|\[[^\]\n]+\]:))", f"\n{SEP}"),
+        (r"(?m)(^[ \t]*(?:\||" + MARK + r"|\{\||==|<!--|-->|\\\w+\{)[^\n]*\n|[=}>]\n|^[^\n|]*\|[^\n|]*\|[^\n]*\n)", f"$1{SEP}"),
+    ]))
+    # Quotations and brackets that stand alone or after a colon.
     alone = "|".join(f"{c[0]}[^{c}]*{c[3]}" if k == "d" else f"{c[0]}[^{c}]*[{c[2:]}]" for k, (_, _, c) in KINDS.items())
-    for _ in range(3):
-        s.append((rf"(^{space}*|{SEP}{space}*)({alone})(?!\s*{SEP}|{_GOES_ON})", f"$1$2{SEP}"))
-    s.append((rf"([：:]{space}?)({alone})(?!\s*{SEP}|{_GOES_ON})", f"$1$2{SEP}"))
-    return s
+    lone = (rf"(^{space}*|{SEP}{space}*)({alone})(?!\s*{SEP}|{_GOES_ON})", f"$1$2{SEP}")
+    after_colon = (rf"([：:]{space}?)({alone})(?!\s*{SEP}|{_GOES_ON})", f"$1$2{SEP}")
+    out.append((f"[{''.join(code[2:] for _, _, code in KINDS.values())}]", [lone, lone, lone, after_colon]))
+    return out
 
 
-def marked(text: Column, kind: Column) -> Column:
-    """``text`` with masks and separators; without separators it is as long as ``text``."""
-    out = text
-    for pattern, to in _steps():
-        out = F.regexp_replace(out, pattern, to)
-    return F.when(kind == "list", F.regexp_replace(text, "\n", f"\n{SEP}")).otherwise(out)
+def with_marks(texts: DataFrame) -> DataFrame:
+    """``texts(text, kind, ...)`` and _marked: the text with masks and separators, but for these as long as the text."""
+    out = texts.withColumn("_marked", F.col("text"))
+    for condition, steps in _groups():
+        new = F.col("_marked")
+        for pattern, to in steps:
+            new = F.regexp_replace(new, pattern, to)
+        out = out.withColumn("_marked", F.when(F.col("_marked").rlike(condition), new).otherwise(F.col("_marked")))
+    return out.withColumn("_marked", F.when(F.col("kind") == "list", F.regexp_replace("text", "\n", f"\n{SEP}")).otherwise(F.col("_marked")))
 
 
 def with_spans(texts: DataFrame) -> DataFrame:
@@ -125,7 +135,7 @@ def with_spans(texts: DataFrame) -> DataFrame:
     once for each use; for the same reason spans are exploded with explode_outer, below which no filter is
     inferred.
     """
-    cut = texts.withColumn("_pieces", F.split(marked(F.col("text"), F.col("kind")), SEP, -1))
+    cut = with_marks(texts).withColumn("_pieces", F.split("_marked", SEP, -1)).drop("_marked")
     cut = cut.withColumn("_sizes", F.transform("_pieces", lambda p: F.struct(F.length(p).alias("all"), (F.length(p) - F.length(F.regexp_replace(p, rf"^{_SPACES}+", ""))).alias("lead"), F.length(F.regexp_replace(p, rf"{_SPACES}+\z", "")).alias("body"))))
     # Start of each piece: the sum of the sizes before it.
     cut = cut.withColumn("_starts", F.transform("_sizes", lambda _, i: F.aggregate(F.slice("_sizes", 1, i), F.lit(0), lambda acc, x: acc + x["all"])))
