@@ -58,9 +58,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least two partitions a core, for work that is heavy on CPU.
+    """``df`` over at least one partition a core, for work that is heavy on CPU.
 
     Only input of few splits moves; a large input has enough of them and is returned as it is.
     """
-    least = 2 * cores(df.sparkSession)
+    least = cores(df.sparkSession)
     return df.repartition(least) if df.rdd.getNumPartitions() < least else df
