@@ -35,6 +35,8 @@ BUCKETS = 1 << 22
 SLICES = 64
 #: An n-gram in more documents than this is joined in blocks of so many rows.
 HOT = 1 << 13
+#: Most ids (eight bytes each) that are broadcast.
+SENT_IDS = 1 << 20
 #: Longs of a sketch.
 WORDS = 16
 
@@ -42,7 +44,8 @@ WORDS = 16
 def rarity(texts: DataFrame, n: int) -> np.ndarray:
     """Rank class (0 rarest) per n-gram bucket over all rows of ``texts(body)``: BUCKETS bytes.
 
-    Each partition sends counts in SLICES fixed-size slices; the driver gets one byte a bucket.
+    Each partition sends counts in SLICES fixed-size slices, one byte a bucket (a count above 255 in one
+    partition is frequent enough to come last); the driver gets one byte a bucket.
     """
     width = BUCKETS // SLICES
 
@@ -54,7 +57,7 @@ def rarity(texts: DataFrame, n: int) -> np.ndarray:
         if total.any():
             for s in range(SLICES):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([s], pa.int32()), pa.array([total[s * width : (s + 1) * width].tobytes()], pa.binary())],
+                    [pa.array([s], pa.int32()), pa.array([np.minimum(total[s * width : (s + 1) * width], 255).astype(np.uint8).tobytes()], pa.binary())],
                     names=["slice", "counts"],
                 )
 
@@ -62,7 +65,7 @@ def rarity(texts: DataFrame, n: int) -> np.ndarray:
         total = np.zeros(width, dtype=np.uint64)
         for batch in batches:
             for counts in batch.column("counts").to_pylist():
-                total += np.frombuffer(counts, dtype=np.uint32)
+                total += np.frombuffer(counts, dtype=np.uint8)
         # Four classes per doubling, exact below eight documents.
         cls = np.where(total < 8, total, np.floor(np.log2(np.maximum(total, 1).astype(np.float64)) * 4) - 4)
         yield pa.RecordBatch.from_arrays(
@@ -78,12 +81,12 @@ def rarity(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def class_count(cls: np.ndarray) -> np.ndarray:
-    """Upper bound of the document count of rank classes."""
+    """About the document count of rank classes, which sets the number of blocks of hot n-grams."""
     return np.where(cls < 8, cls, np.ceil(2.0 ** ((cls.astype(np.float64) + 5) / 4)))
 
 
 def prefix_rows(classes: DataFrame, n: int, threshold: Fraction, ranks: np.ndarray) -> DataFrame:
-    """(g, id, size, pos): the prefix n-grams of each class in rare-first order.
+    """(g, id, size, pos): the prefix n-grams of each class in rare-first order, with arrays of the rows of a batch.
 
     N-grams that occur in one document only are left out, but keep their position. ``g`` of a hot n-gram
     also holds the cell of a triangular grid of row blocks; each row goes to every cell of its block.
@@ -124,12 +127,15 @@ def prefix_rows(classes: DataFrame, n: int, threshold: Fraction, ranks: np.ndarr
             blocks = np.ceil(class_count(c) / HOT).astype(np.int64)
             if (blocks > 1).any():
                 g, own, sizes, where = _cells(g, own, sizes, where, blocks)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g.view(np.int64)), pa.array(own), pa.array(sizes.astype(np.int32)), pa.array(where.astype(np.int32))],
-                names=["g", "id", "size", "pos"],
-            )
+            # Combined before the shuffle: one row an n-gram, with the rows of this batch.
+            order = np.argsort(g, kind="stable")
+            g = g[order]
+            first = np.flatnonzero(np.concatenate([[len(g) > 0], g[1:] != g[:-1]]))
+            ends = pa.array(np.append(first, len(g)).astype(np.int32))
+            cols = [pa.ListArray.from_arrays(ends, pa.array(x[order].astype(t))) for x, t in ((own, np.int64), (sizes, np.int32), (where, np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(g[first].view(np.int64)), *cols], names=["g", "id", "size", "pos"])
 
-    return classes.select("id", "body").mapInArrow(emit, "g long, id long, size int, pos int")
+    return classes.select("id", "body").mapInArrow(emit, "g long, id array<long>, size array<int>, pos array<int>")
 
 
 def _cells(g, own, sizes, where, blocks):
@@ -155,8 +161,10 @@ def matched_pairs(rows: DataFrame, threshold: Fraction, partitions: int) -> Data
         if not got:
             return
         t = pa.Table.from_batches(got)
-        g, ident = t.column("g").to_numpy(), t.column("id").to_numpy()
-        size, pos = t.column("size").to_numpy().astype(np.int64), t.column("pos").to_numpy().astype(np.int64)
+        lists = t.column("id").combine_chunks()
+        g = np.repeat(t.column("g").to_numpy(), lists.value_lengths().to_numpy())
+        ident = lists.flatten().to_numpy()
+        size, pos = (t.column(c).combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("size", "pos"))
         order = np.lexsort((size, g))
         g, ident, size, pos = g[order], ident[order], size[order], pos[order]
         run = np.cumsum(np.concatenate([[0], (g[1:] != g[:-1]).astype(np.int64)]))
@@ -229,10 +237,19 @@ def candidate_pairs(matches: DataFrame, classes: DataFrame, threshold: Fraction)
 
 
 def verified_pairs(pairs: DataFrame, classes: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """(a, b, similarity): the candidate pairs whose exact similarity reaches the threshold."""
+    """(a, b, similarity): the candidate pairs whose exact similarity reaches the threshold.
+
+    Where the candidates' ids are few (counted: at most SENT_IDS), they are broadcast, so that only their
+    bodies are shuffled; otherwise all bodies are.
+    """
     num, den = threshold.numerator, threshold.denominator
-    left = classes.select(F.col("id").alias("a"), F.col("body").alias("body_a"))
-    right = classes.select(F.col("id").alias("b"), F.col("body").alias("body_b"))
+    pairs = runtime.materialize(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    if 2 * pairs.count() <= SENT_IDS:
+        wanted = F.broadcast(wanted)
+    bodies = classes.select("id", "body").join(wanted, "id", "left_semi")
+    left = bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a"))
+    right = bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
