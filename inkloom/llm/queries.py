@@ -6,6 +6,7 @@ from .confusables import p4_found, p4_groups
 from .near_dup import p1_found
 from .sentences import p3_found
 from .site_lines import p5_found
+from .split_overlap import p6_found, p6_report
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report}
 ORACLE: dict[str, str] = {}
