@@ -1,8 +1,9 @@
 """Near-duplicate records: exact n-gram Jaccard similarity join by rare-first prefix filtering.
 
-Plan, with one shuffle of texts, one of prefix n-grams and one of candidate pairs:
+Plan, with no shuffle of all texts, one of prefix n-grams and one of candidate pairs:
 
-1. Equal texts collapse to one class; only classes go on (written once as a table).
+1. Each text gets a class, the 64-bit hash of the text, and a sketch; they are written once as a table.
+   Equal texts have equal rows from here on: each batch sends a class once, and equal rows merge.
 2. A fixed-size table of n-gram document counts (hashed into ``BUCKETS``) gives one global order, rare
    first. The order affects speed only: any total order gives the same pairs.
 3. Each class sends the prefix of its ordered n-grams, keyed by n-gram. Within a key, rows are matched
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .. import runtime
 from .bodies import squeezed_bodies
-from .vec import gram_sets, intersection_size
+from .vec import gram_sets, intersection_size, slices
 
 #: Entries of the table of n-gram document counts (one byte each when broadcast): a fixed bound.
 BUCKETS = 1 << 22
@@ -38,7 +39,7 @@ HOT = 1 << 13
 #: Most ids (eight bytes each) that are broadcast.
 SENT_IDS = 1 << 20
 #: Longs of a sketch.
-WORDS = 16
+WORDS = 8
 
 
 def rarity(texts: DataFrame, n: int) -> np.ndarray:
@@ -51,7 +52,7 @@ def rarity(texts: DataFrame, n: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.uint32)
-        for batch in batches:
+        for batch in slices(batches, "body"):
             grams, _ = gram_sets(batch.column(0).to_pylist(), n)
             total += np.bincount((grams & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
         if total.any():
@@ -85,8 +86,10 @@ def class_count(cls: np.ndarray) -> np.ndarray:
     return np.where(cls < 8, cls, np.ceil(2.0 ** ((cls.astype(np.float64) + 5) / 4)))
 
 
-def prefix_rows(classes: DataFrame, n: int, threshold: Fraction, ranks: np.ndarray) -> DataFrame:
-    """(g, id, size, pos): the prefix n-grams of each class in rare-first order, with arrays of the rows of a batch.
+def prefix_rows(classes: DataFrame, n: int, threshold: Fraction, ranks: np.ndarray, partitions: int) -> DataFrame:
+    """(part, rows): the prefix n-grams of each class in rare-first order, packed by partition of the n-gram.
+
+    Packed rows hold (g, id, size, pos); 40 bits of the n-gram's hash are a key good enough, as pairs are verified.
 
     N-grams that occur in one document only are left out, but keep their position. ``g`` of a hot n-gram
     also holds the cell of a triangular grid of row blocks; each row goes to every cell of its block.
@@ -96,9 +99,9 @@ def prefix_rows(classes: DataFrame, n: int, threshold: Fraction, ranks: np.ndarr
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            grams, offsets = gram_sets(batch.column(1).to_pylist(), n)
+        for batch in slices(batches, "body"):
+            ids, at = np.unique(batch.column(0).to_numpy(), return_index=True)
+            grams, offsets = gram_sets(batch.column(1).take(pa.array(at)).to_pylist(), n)
             cls = table[(grams & np.uint64(BUCKETS - 1)).astype(np.int64)]
             # Sorting (class, upper bits of the hash) of a text by one 64-bit key; ties end in the same order everywhere.
             key = (cls.astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8))
@@ -127,15 +130,48 @@ def prefix_rows(classes: DataFrame, n: int, threshold: Fraction, ranks: np.ndarr
             blocks = np.ceil(class_count(c) / HOT).astype(np.int64)
             if (blocks > 1).any():
                 g, own, sizes, where = _cells(g, own, sizes, where, blocks)
-            # Combined before the shuffle: one row an n-gram, with the rows of this batch.
-            order = np.argsort(g, kind="stable")
-            g = g[order]
-            first = np.flatnonzero(np.concatenate([[len(g) > 0], g[1:] != g[:-1]]))
-            ends = pa.array(np.append(first, len(g)).astype(np.int32))
-            cols = [pa.ListArray.from_arrays(ends, pa.array(x[order].astype(t))) for x, t in ((own, np.int64), (sizes, np.int32), (where, np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(g[first].view(np.int64)), *cols], names=["g", "id", "size", "pos"])
-
-    return classes.select("id", "body").mapInArrow(emit, "g long, id array<long>, size array<int>, pos array<int>")
+            yield _packed(g, own, sizes, where, partitions)
+
+    return classes.select("id", "body").mapInArrow(emit, "part int, rows binary")
+
+
+def _packed(g, own, sizes, where, partitions: int) -> pa.RecordBatch:
+    """One binary a partition: sorted 40-bit keys as differences, numbers of documents, positions; documents once."""
+    docs, first, doc = np.unique(own, return_index=True, return_inverse=True)
+    key = g >> np.uint64(24)
+    part = (key % np.uint64(partitions)).astype(np.int64)
+    order = np.lexsort((key, part))
+    key, doc, where, part = key[order], doc[order], where[order], part[order]
+    edges = np.searchsorted(part, np.arange(partitions + 1))
+    big = "<u2" if len(docs) < 1 << 16 and sizes.max(initial=0) < 1 << 16 else "<u4"
+    out = []
+    for p in range(partitions):
+        a, b = edges[p], edges[p + 1]
+        if b == a:
+            continue
+        used, mine = np.unique(doc[a:b], return_inverse=True)
+        steps = np.diff(key[a:b], prepend=np.uint64(0)).astype("<u8")
+        head = np.array([b - a, len(used), int(big[2]), int(docs[used[0]])], dtype="<i8")
+        # The first step has 8 bytes; the others 5.
+        tail = steps.view(np.uint8).reshape(-1, 8)[:, :5]
+        out.append((p, b"".join((head.tobytes(), np.ascontiguousarray(tail.T).tobytes(), mine.astype(big).tobytes(), where[a:b].astype(big).tobytes(), (docs[used] - docs[used[0]]).astype("<i8").tobytes(), sizes[first[used]].astype("<u4").tobytes()))))
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["part", "rows"])
+
+
+def _unpacked(rows: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(g, id, size, pos) of packed rows."""
+    n, m, width, base = np.frombuffer(rows, "<i8", 4).tolist()
+    at = 32
+    steps = np.zeros((n, 8), dtype=np.uint8)
+    steps[:, :5] = np.frombuffer(rows, np.uint8, 5 * n, at).reshape(5, n).T
+    key = np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+    at += 5 * n
+    doc = np.frombuffer(rows, f"<u{width}", n, at)
+    pos = np.frombuffer(rows, f"<u{width}", n, at + width * n)
+    at += 2 * width * n
+    ids = np.frombuffer(rows, "<i8", m, at) + base
+    sizes = np.frombuffer(rows, "<u4", m, at + 8 * m)
+    return key, ids[doc], sizes[doc].astype(np.int64), pos.astype(np.int64)
 
 
 def _cells(g, own, sizes, where, blocks):
@@ -157,14 +193,11 @@ def matched_pairs(rows: DataFrame, threshold: Fraction, partitions: int) -> Data
     num, den = threshold.numerator, threshold.denominator
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
+        got = [_unpacked(rows) for batch in batches for rows in batch.column("rows").to_pylist()]
         if not got:
             return
-        t = pa.Table.from_batches(got)
-        lists = t.column("id").combine_chunks()
-        g = np.repeat(t.column("g").to_numpy(), lists.value_lengths().to_numpy())
-        ident = lists.flatten().to_numpy()
-        size, pos = (t.column(c).combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("size", "pos"))
+        g, ident, size, pos = (np.concatenate(x) for x in zip(*got))
+        del got
         order = np.lexsort((size, g))
         g, ident, size, pos = g[order], ident[order], size[order], pos[order]
         run = np.cumsum(np.concatenate([[0], (g[1:] != g[:-1]).astype(np.int64)]))
@@ -187,7 +220,7 @@ def matched_pairs(rows: DataFrame, threshold: Fraction, partitions: int) -> Data
             new &= x != y
             yield pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new])], names=["a", "b"])
 
-    return rows.repartition(partitions, "g").mapInArrow(match, "a long, b long")
+    return rows.repartition(partitions, "part").mapInArrow(match, "a long, b long")
 
 
 def _expanded(first: np.ndarray, last: np.ndarray, most: int = 1 << 20):
@@ -213,7 +246,7 @@ def with_sketch(texts: DataFrame, n: int) -> DataFrame:
     bits = WORDS * 64
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "body"):
             grams, offsets = gram_sets(batch.column("body").to_pylist(), n)
             row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
             flips = np.bincount(row * bits + (grams >> np.uint64(40)).astype(np.int64) % bits, minlength=batch.num_rows * bits)
@@ -226,6 +259,7 @@ def with_sketch(texts: DataFrame, n: int) -> DataFrame:
 def candidate_pairs(matches: DataFrame, classes: DataFrame, threshold: Fraction) -> DataFrame:
     """(a, b): the distinct matched pairs whose sketches are near enough."""
     num, den = threshold.numerator, threshold.denominator
+    classes = classes.select("id", "size", "sketch").dropDuplicates(["id"])
     a = classes.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
     b = classes.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
     apart = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(WORDS)), F.lit(0))
@@ -247,12 +281,12 @@ def verified_pairs(pairs: DataFrame, classes: DataFrame, n: int, threshold: Frac
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     if 2 * pairs.count() <= SENT_IDS:
         wanted = F.broadcast(wanted)
-    bodies = classes.select("id", "body").join(wanted, "id", "left_semi")
+    bodies = classes.select("id", "body").join(wanted, "id", "left_semi").dropDuplicates(["id"])
     left = bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a"))
     right = bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "body_a"):
             ga, oa = gram_sets(batch.column("body_a").to_pylist(), n)
             gb, ob = gram_sets(batch.column("body_b").to_pylist(), n)
             both = np.array([intersection_size(ga[oa[i] : oa[i + 1]], gb[ob[i] : ob[i + 1]]) for i in range(batch.num_rows)], dtype=np.int64)
@@ -271,37 +305,27 @@ def near_duplicates(bodies: DataFrame, n: int = 5, threshold: float = 0.8, min_c
 
     ``bodies`` has (article_id, body), white space already removed. Bodies below ``min_chars`` and null
     ones take no part; repeated rows count once; an id with several bodies belongs to each one's class.
-    Returns members(article_id, digest), one row per article and class of equal texts, and links(class_a,
-    class_b, similarity) between the digests of classes with similarity >= threshold. Empty input gives
-    empty results.
+    Returns members(article_id, id), one row per article and class of equal texts, and links(a, b,
+    similarity) between classes with similarity >= threshold. Empty input gives empty results.
     """
     spark = bodies.sparkSession
     t = Fraction(str(threshold))
-    kept = bodies.where(F.length("body") >= min_chars).withColumn("digest", F.md5("body"))
-    one = kept.groupBy("digest").agg(F.min("body").alias("body")).select("digest", "body", F.monotonically_increasing_id().alias("id"), F.length("body").alias("chars"))
-    classes = runtime.materialize(with_sketch(one, n), "classes")
-    members = kept.select("article_id", "digest").distinct()
-    size = classes.agg(F.sum("chars")).first()[0] or 0
+    kept = bodies.where(F.length("body") >= min_chars).select("article_id", "body", F.xxhash64("body").alias("id"), F.length("body").alias("chars"))
+    texts = runtime.materialize(with_sketch(runtime.spread(kept), n), "texts")
+    size = texts.agg(F.sum("chars")).first()[0] or 0
     partitions = max(runtime.shuffle_partitions(spark), math.ceil(size * (1 - float(t)) / 1e6))
-    rows = prefix_rows(classes, n, t, rarity(classes, n))
-    sized = classes.withColumn("size", F.greatest(F.lit(1), F.col("chars") - (n - 1)))
+    rows = prefix_rows(texts, n, t, rarity(texts, n), partitions)
+    sized = texts.withColumn("size", F.greatest(F.lit(1), F.col("chars") - (n - 1)))
     pairs = candidate_pairs(matched_pairs(rows, t, partitions), sized, t)
-    links = verified_pairs(pairs, classes, n, t)
-    name = classes.select("id", "digest")
-    return members, (
-        links.join(name.select(F.col("id").alias("a"), F.col("digest").alias("class_a")), "a")
-        .join(name.select(F.col("id").alias("b"), F.col("digest").alias("class_b")), "b")
-        .select("class_a", "class_b", "similarity")
-    )
+    return texts.select("article_id", "id").distinct(), verified_pairs(pairs, texts, n, t)
 
 
 def p1_found(spark, folder: str) -> DataFrame:
     """(article_a, article_b): pairs of different articles with 5-gram similarity of at least 0.8."""
     members, links = near_duplicates(squeezed_bodies(runtime.table(spark, folder, "clean")))
-    members = runtime.materialize(members, "members")
-    a = members.select(F.col("article_id").alias("x"), F.col("digest").alias("class_a"))
-    b = members.select(F.col("article_id").alias("y"), F.col("digest").alias("class_b"))
-    across = links.join(a, "class_a").join(b, "class_b").where("x <> y")
-    same = a.join(b, a["class_a"] == b["class_b"]).where("x < y")
+    a = members.select(F.col("article_id").alias("x"), F.col("id").alias("a"))
+    b = members.select(F.col("article_id").alias("y"), F.col("id").alias("b"))
+    across = links.select("a", "b").join(a, "a").join(b, "b").where("x <> y")
+    same = a.join(b, a["a"] == b["b"]).where("x < y")
     both = across.select("x", "y").unionByName(same.select("x", "y"))
     return both.select(F.least("x", "y").alias("article_a"), F.greatest("x", "y").alias("article_b")).distinct()

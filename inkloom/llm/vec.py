@@ -68,3 +68,20 @@ def intersection_size(a: np.ndarray, b: np.ndarray) -> int:
     at = np.searchsorted(a, b)
     at[at == len(a)] = 0
     return int((a[at] == b).sum())
+
+
+def slices(batches, column: str, most: int = 1 << 21):
+    """Parts of the record batches with at most so many characters in ``column`` each (one row at least).
+
+    Bounds the memory of array work to the longest text plus ``most`` characters.
+    """
+    for batch in batches:
+        sizes = np.array([len(t) if t else 0 for t in batch.column(column).to_pylist()], dtype=np.int64)
+        start, held = 0, 0
+        for i, size in enumerate(sizes.tolist()):
+            if held and held + size > most:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        if batch.num_rows > start:
+            yield batch.slice(start)
