@@ -2,12 +2,12 @@
 
 A rolling hash of ``WINDOW`` characters cuts each normalised record where the hash is 0 modulo
 ``MEAN``, so that an edit changes only the chunks it touches. Digests of chunks are joined across
-splits; the lengths of shared chunks sum to overlap fractions. A pair goes on if it shares at least
-``FRACTION`` of the longer record, and is verified exactly by n-gram similarity.
+splits; the lengths of shared chunks sum to overlap fractions. A pair goes on if its kept chunks share at
+least ``FRACTION`` of the longer record, and is verified exactly by n-gram similarity.
 
 Before the join, chunks are ordered rare first and the most frequent ones left out as long as what is left
-out is shorter than ``FRACTION`` of the record: a pair that reaches the fraction still shares a chunk
-that is kept. Chunks found on one side only are dropped by a fixed-size table of both sides' counts.
+out is shorter than ``FRACTION`` of the record, so that each pair that shares twice the fraction goes on.
+Chunks found on one side only are dropped by a fixed-size table of both sides' counts.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .. import runtime
 from .bodies import squeezed_bodies
 from .near_dup import SENT_IDS
-from .vec import code_points, gram_sets, intersection_size, mix, rolling_hashes
+from .vec import code_points, gram_sets, intersection_size, mix, rolling_hashes, slices
 
 WINDOW = 4
 MEAN = 16
@@ -69,7 +69,7 @@ def _counts(records: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), dtype=np.uint32)
-        for batch in batches:
+        for batch in slices(batches, "body"):
             d, _, offsets = chunks(batch.column("body").to_pylist())
             b = (d & np.uint64(BUCKETS - 1)).astype(np.int64)
             for side, name in enumerate(("in_train", "in_eval")):
@@ -103,7 +103,7 @@ def chunk_rows(records: DataFrame, table: np.ndarray) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
-        for batch in batches:
+        for batch in slices(batches, "body"):
             d, lengths, offsets = chunks(batch.column("body").to_pylist())
             n = np.diff(offsets)
             own = np.repeat(np.arange(len(n)), n)
@@ -141,6 +141,7 @@ def overlapping_records(records: DataFrame, n: int, above: float) -> DataFrame:
         .groupBy("a", "b")
         .agg(F.sum("length").alias("overlap"), F.max(F.greatest("total_a", "total_b")).alias("total"))
         .withColumn("fraction", F.col("overlap") / F.col("total"))
+        .where(F.col("fraction") >= FRACTION)
     )
     pairs = runtime.materialize(fractions, "overlaps")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -149,7 +150,7 @@ def overlapping_records(records: DataFrame, n: int, above: float) -> DataFrame:
     bodies = records.select("id", "body").join(wanted, "id", "left_semi")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "body_a"):
             ga, oa = gram_sets(batch.column("body_a").to_pylist(), n)
             gb, ob = gram_sets(batch.column("body_b").to_pylist(), n)
             both = np.array([intersection_size(ga[oa[i] : oa[i + 1]], gb[ob[i] : ob[i + 1]]) for i in range(batch.num_rows)], dtype=np.int64)
@@ -175,27 +176,21 @@ def split_overlaps(clean: DataFrame, splits: DataFrame, n: int = 8, above: float
     without a split, unknown splits, null ids and short bodies take no part otherwise; repeated rows count once.
     """
     parts = splits.where("article_id is not null and split in ('train', 'dev', 'holdout')").select("article_id", "split").distinct()
-    bodies = squeezed_bodies(clean).where(F.length("body") >= min_chars).withColumn("digest", F.md5("body"))
-    placed = bodies.join(parts, "article_id")
+    bodies = squeezed_bodies(clean).where(F.length("body") >= min_chars).withColumn("id", F.xxhash64("body"))
+    sides = parts.groupBy("article_id").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval"))
     records = runtime.materialize(
-        placed.groupBy("digest")
-        .agg(F.min("body").alias("body"), F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval"))
-        .withColumn("id", F.monotonically_increasing_id()),
+        bodies.join(sides, "article_id")
+        .groupBy("id")
+        .agg(F.first("body").alias("body"), F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval")),
         "records",
     )
     links = overlapping_records(records.select("id", "body", "in_train", "in_eval"), n, above)
-    name = records.select("id", "digest")
-    linked = (
-        links.join(name.withColumnsRenamed({"id": "a", "digest": "class_a"}), "a")
-        .join(name.withColumnsRenamed({"id": "b", "digest": "class_b"}), "b")
-        .select("class_a", "class_b")
-    )
     # Equal texts are one record: it overlaps itself if it lies on both sides.
-    same = records.where("in_train and in_eval").select(F.col("digest").alias("class_a"), F.col("digest").alias("class_b"))
-    members = runtime.materialize(placed.select("digest", "article_id", "split").distinct(), "members")
-    train = members.where("split = 'train'").select(F.col("digest").alias("class_a"), F.col("article_id").alias("x"))
-    other = members.where("split <> 'train'").select(F.col("digest").alias("class_b"), F.col("article_id").alias("y"), F.col("split").alias("eval_split"))
-    pairs = linked.unionByName(same).join(train, "class_a").join(other, "class_b").where("x <> y")
+    same = records.where("in_train and in_eval").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    members = runtime.materialize(bodies.select("id", "article_id").join(parts, "article_id").distinct(), "members")
+    train = members.where("split = 'train'").select(F.col("id").alias("a"), F.col("article_id").alias("x"))
+    other = members.where("split <> 'train'").select(F.col("id").alias("b"), F.col("article_id").alias("y"), F.col("split").alias("eval_split"))
+    pairs = links.select("a", "b").unionByName(same).join(train, "a").join(other, "b").where("x <> y")
     both = parts.where("split = 'train'").select("article_id").join(parts.where("split <> 'train'"), "article_id")
     return (
         pairs.select(F.least("x", "y").alias("article_a"), F.greatest("x", "y").alias("article_b"), "eval_split")
