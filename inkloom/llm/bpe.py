@@ -182,7 +182,11 @@ def encoder(path: str) -> Encoder:
 
 
 def with_ids(texts: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """``texts(text, ...)`` with ids in place of text; the vocabulary file is read on each executor."""
+    """``texts(text, ...)`` with ids in place of text (and of a column ids); the vocabulary file is read on each executor.
+
+    Null and empty texts get an empty list; repeated rows stay.
+    """
+    texts = texts.drop("ids")
     path = f"{folder}/{vocabulary}.tiktoken"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -213,7 +213,11 @@ def content_lines(document: str, sigma: float = 1.5) -> list[int]:
 
 
 def converted(texts: DataFrame) -> DataFrame:
-    """``texts(text, ...)`` with clean and families. Null and empty texts have no families."""
+    """``texts(text, ...)`` with clean and families, in place of columns of these names.
+
+    Null and empty texts have no families.
+    """
+    texts = texts.drop("clean", "families")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -95,6 +95,7 @@ def _groups() -> list[tuple[str, list[tuple[str, str]]]]:
     out.append((r"\.", [
         (rf"(\.[\"”’»)]*)(?={space}+(?!\p{{Ll}})(?!{space})|{space}*$)", f"$1{SEP}"),
         (r"\.(?<=[\p{Ll}\p{M}]{2}\.)(?=\p{Lu}\p{Ll})", f".{SEP}"),
+        (rf"\.(?<=[\p{{IsHangul}}\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}]\.)(?={space}+\p{{Ll}})", f".{SEP}"),
     ]))
     # Thai: a space parts sentences unless it stands at a name or number.
     out.append((r"[\x{e01}-\x{e5b}]", [(r"([\x{e01}-\x{e5b}])(?=\s+[\x{e01}-\x{e5b}])", f"$1{SEP}"), (r"(ครับ|ค่ะ|คะ)(?=\s)", f"$1{SEP}")]))
@@ -131,11 +132,11 @@ def with_spans(texts: DataFrame) -> DataFrame:
     """``texts(text, kind, ...)`` and spans, array<struct<sent_start, sent_end>>: the units of each text.
 
     In a ``list`` text each line is a unit. Ends are exclusive; both count code points. Null text gives
-    null, blank text an empty array. Each step is a projection of its own, so that no step is evaluated
+    null, blank text an empty array; columns spans and those that begin with _ are replaced. Each step is a projection of its own, so that no step is evaluated
     once for each use; for the same reason spans are exploded with explode_outer, below which no filter is
     inferred.
     """
-    cut = with_marks(texts).withColumn("_pieces", F.split("_marked", SEP, -1)).drop("_marked")
+    cut = with_marks(texts.drop("spans", "_pieces", "_sizes", "_starts")).withColumn("_pieces", F.split("_marked", SEP, -1)).drop("_marked")
     cut = cut.withColumn("_sizes", F.transform("_pieces", lambda p: F.struct(F.length(p).alias("all"), (F.length(p) - F.length(F.regexp_replace(p, rf"^{_SPACES}+", ""))).alias("lead"), F.length(F.regexp_replace(p, rf"{_SPACES}+\z", "")).alias("body"))))
     # Start of each piece: the sum of the sizes before it.
     cut = cut.withColumn("_starts", F.transform("_sizes", lambda _, i: F.aggregate(F.slice("_sizes", 1, i), F.lit(0), lambda acc, x: acc + x["all"])))

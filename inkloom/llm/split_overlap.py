@@ -28,6 +28,8 @@ from .vec import code_points, gram_sets, intersection_size, mix, rolling_hashes,
 WINDOW = 4
 MEAN = 16
 FRACTION = 0.1
+#: Records below SHORT characters have few chunks, so they are also cut into chunks of about FINE.
+SHORT, FINE = 512, 4
 #: Entries of the table of chunk counts, two bytes each when broadcast: a fixed bound.
 BUCKETS = 1 << 22
 SLICES = 64
@@ -43,7 +45,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Digests and lengths of the distinct chunks of each text, flat, and the texts' offsets in them."""
     flat, offsets = code_points(texts)
-    points = rolling_hashes(flat, WINDOW) % np.uint64(MEAN) == 0
+    rolled = rolling_hashes(flat, WINDOW)
+    scales = [(rolled % np.uint64(m) == 0, np.uint64(m)) for m in (MEAN, FINE)]
     # Prefix sums of position-free terms give the digest of any chunk in one subtraction and product.
     power, back = (_powers(x, len(flat)) for x in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
     spread = mix(flat.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
@@ -51,11 +54,14 @@ def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     digests, lengths, counts = [], [], [0]
     for i in range(len(texts)):
         a, b = int(offsets[i]), int(offsets[i + 1])
-        inner = np.flatnonzero(points[a : max(a, b - WINDOW)]) + a + WINDOW
-        edges = np.concatenate([[a], inner, [b]]) if b > a else np.zeros(1, np.int64)
-        size = np.diff(edges)
-        d = mix((sums[edges[1:]] - sums[edges[:-1]]) * back[edges[:-1]] + size.astype(np.uint64))
-        d, at = np.unique(d, return_index=True)
+        both = []
+        for points, scale in scales[: 2 if b - a < SHORT else 1]:
+            inner = np.flatnonzero(points[a : max(a, b - WINDOW)]) + a + WINDOW
+            edges = np.concatenate([[a], inner, [b]]) if b > a else np.zeros(1, np.int64)
+            length = np.diff(edges)
+            both.append((mix((sums[edges[1:]] - sums[edges[:-1]]) * back[edges[:-1]] + length.astype(np.uint64) * scale), length))
+        size = np.concatenate([length for _, length in both])
+        d, at = np.unique(np.concatenate([d for d, _ in both]), return_index=True)
         digests.append(d)
         lengths.append(size[at])
         counts.append(len(d))
