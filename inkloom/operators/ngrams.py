@@ -62,7 +62,9 @@ def similar_pairs(texts: DataFrame, key: str, n: int = 5, threshold: float = 0.8
     y = prefix.select("g", F.col(key).alias("b"), F.col("size").alias("n_b"), F.col("rank").alias("r_b"))
     t = threshold / (1 + threshold)
     rest = F.least(F.col("n_a") - F.max("r_a"), F.col("n_b") - F.max("r_b"))
-    close = (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
+    # At the first shared gram the overlap is at most the smaller rest; earlier shared grams pass as well.
+    reach = F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b")) + 1 >= (F.col("n_a") + F.col("n_b")) * t - 1e-9
+    close = reach & (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
     candidates = (
         x.join(y, "g").where((F.col("a") < F.col("b")) & close).groupBy("a", "b", "n_a", "n_b").agg((F.count("*") + rest).alias("most")).where(F.col("most") >= (F.col("n_a") + F.col("n_b")) * t - 1e-9)
     )

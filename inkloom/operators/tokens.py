@@ -59,8 +59,8 @@ def suffixes(tokens: DataFrame, sentence: list[str], n: int) -> DataFrame:
     """sentence, suffix: masked lemmas of the last n content tokens of sentences that have as many."""
     w = Window.partitionBy(*sentence).orderBy(F.desc("tok_idx"))
     last = content(tokens).withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
-    per = last.groupBy(*sentence).agg(F.sort_array(F.collect_list(F.struct("tok_idx", masked_lemma(F.col("base"), F.col("pos")).alias("k")))).alias("s"))
-    return per.where(F.size("s") == n).select(*sentence, F.array_join(F.transform("s", lambda x: x["k"]), "|").alias("suffix"))
+    per = last.groupBy(*sentence).agg(F.sort_array(F.collect_list(F.struct("tok_idx", masked_lemma(F.col("base"), F.col("pos")).alias("k")))).alias("_last"))
+    return per.where(F.size("_last") == n).select(*sentence, F.array_join(F.transform("_last", lambda x: x["k"]), "|").alias("suffix"))
 
 
 def before_commas(tokens: DataFrame, sentence: list[str]) -> DataFrame:

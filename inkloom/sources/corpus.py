@@ -20,8 +20,9 @@ def read_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     Ids come from file stems; whole files are single rows, split over tasks by file.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").text(sorted(set(paths)))
-    name = F.regexp_replace("_metadata.file_name", "\\.(txt|md)$", "")
+    files = spark.read.text(sorted(set(paths)), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{txt,md}")
+    # File names come percent-encoded.
+    name = F.regexp_replace(F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))), "\\.(txt|md)$", "")
     return files.select(X.article_id_of(name).alias("article_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).dropDuplicates(["path"])
 
 
