@@ -29,7 +29,7 @@ WINDOW = 4
 MEAN = 16
 FRACTION = 0.1
 #: Records below SHORT characters have few chunks, so they are also cut into chunks of about FINE.
-SHORT, FINE = 512, 4
+SHORT, FINE = 256, 4
 #: Entries of the table of chunk counts, two bytes each when broadcast: a fixed bound.
 BUCKETS = 1 << 22
 SLICES = 64
