@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,10 @@ BLOCKS = T.ArrayType(
 FEATURE_SCHEMA_VERSION = "2"
 
 
+def _abort(message: Column) -> Column:
+    return F.raise_error(message).cast("boolean")
+
+
 def read_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
     """article_id, path, text of .txt and .md files under the paths, a file once; a missing path is an error.
 
@@ -31,17 +35,18 @@ def new_snapshots(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     known = stored.select("article_id", X.content_hash(F.col("text")).alias("known")).distinct()
     checked = incoming.join(known, "article_id", "left")
     same = F.col("known").isNull() | (F.col("known") == X.content_hash(F.col("text")))
-    guard = F.assert_true(same, F.concat(F.lit("snapshot differs: "), "article_id"))
-    return checked.where(guard.isNull() & F.col("known").isNull()).drop("known")
+    # One expression, so that no row is left out before it is checked.
+    wanted = F.when(F.col("known").isNull(), True).when(same, False).otherwise(_abort(F.concat(F.lit("snapshot differs: "), "article_id")))
+    return checked.where(wanted).drop("known")
 
 
 def merge_manifest(old: DataFrame, new: DataFrame, key: str = "article_id", first: str = "retrieval_timestamp", owner: str = "author_id") -> DataFrame:
     """Full outer merge by id: the new row's values where there is one, the older first timestamp; another author aborts."""
     o = old.select(*(F.col(c).alias(f"_{c}") for c in old.columns))
     j = new.join(o, new[key] == o[f"_{key}"], "full_outer")
-    guard = F.assert_true(F.col(owner).isNull() | F.col(f"_{owner}").isNull() | (F.col(owner) == F.col(f"_{owner}")), F.lit("author differs"))
+    same = F.col(owner).isNull() | F.col(f"_{owner}").isNull() | (F.col(owner) == F.col(f"_{owner}"))
     cols = [F.coalesce(F.least(c, f"_{c}"), c, f"_{c}").alias(c) if c == first else F.when(F.col(key).isNotNull(), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in new.columns]
-    return j.where(guard.isNull()).select(*cols)
+    return j.where(F.when(same, True).otherwise(_abort(F.lit("author differs")))).select(*cols)
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -56,5 +61,4 @@ def write_records(df: DataFrame, path: str) -> None:
 
 def of_version(records: DataFrame, version: str = FEATURE_SCHEMA_VERSION) -> DataFrame:
     """Records, whose schema version must match; another one aborts, null ones too."""
-    guard = F.assert_true(F.coalesce(F.col("feature_schema") == version, F.lit(False)), F.lit("schema version differs"))
-    return records.where(guard.isNull())
+    return records.where(F.when(F.col("feature_schema") == version, True).otherwise(_abort(F.lit("schema version differs"))))
