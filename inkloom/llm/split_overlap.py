@@ -5,6 +5,10 @@ A rolling hash of ``WINDOW`` characters cuts each normalised record where the ha
 splits; the lengths of shared chunks sum to overlap fractions. A pair goes on if its kept chunks share at
 least ``FRACTION`` of the longer record, and is verified exactly by n-gram similarity.
 
+Chunks guarantee nothing for pairs whose edits stand close together, so every record also sends the
+rare-first prefix of its n-grams (``gram_pairs``), which no pair above the threshold can escape. Results are
+exact up to collisions of 64-bit hashes.
+
 Before the join, chunks are ordered rare first and the most frequent ones left out as long as what is left
 out is shorter than ``FRACTION`` of the record, so that each pair that shares twice the fraction goes on.
 Chunks found on one side only are dropped by a fixed-size table of both sides' counts.
@@ -22,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .. import runtime
 from .bodies import squeezed_bodies
-from .near_dup import SENT_IDS
+from .near_dup import BUCKETS as RANKS
+from .near_dup import HOT, SENT_IDS, _cells, _expanded, _packed, _unpacked, class_count, rarity
 from .vec import code_points, gram_sets, intersection_size, mix, rolling_hashes, slices
 
 WINDOW = 4
@@ -33,6 +38,10 @@ SHORT, FINE = 256, 4
 #: Entries of the table of chunk counts, two bytes each when broadcast: a fixed bound.
 BUCKETS = 1 << 22
 SLICES = 64
+#: Characters of all records a partition of prefix n-grams, where the shuffle partitions are fewer.
+PART_CHARS = 2_000_000
+#: Pairs of rows that share an n-gram, compared at once.
+PAIRS = 1 << 19
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -131,11 +140,123 @@ def chunk_rows(records: DataFrame, table: np.ndarray) -> DataFrame:
     return records.mapInArrow(emit, "digest long, id long, total long, length long, in_train boolean, in_eval boolean")
 
 
+def gram_rows(records: DataFrame, n: int, t: Fraction, ranks: np.ndarray, partitions: int) -> DataFrame:
+    """(part, rows): the prefix n-grams of each record in rare-first order, packed by partition of the n-gram.
+
+    The prefix of m n-grams leaves out the last floor(t * m). Packed rows hold (g, id, size, pos), where
+    size is 4 * m, plus 1 in train, plus 2 in evaluation. N-grams of one record only keep their position.
+    """
+    shared = records.sparkSession.sparkContext.broadcast(ranks)  # RANKS bytes
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in slices(batches, "body"):
+            ids = batch.column("id").to_numpy()
+            sides = batch.column("in_train").to_numpy(zero_copy_only=False) + 2 * batch.column("in_eval").to_numpy(zero_copy_only=False).astype(np.int64)
+            grams, offsets = gram_sets(batch.column("body").to_pylist(), n)
+            cls = table[(grams & np.uint64(RANKS - 1)).astype(np.int64)]
+            key = (cls.astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8))
+            keep, pos = [], []
+            for i in range(len(ids)):
+                a, b = int(offsets[i]), int(offsets[i + 1])
+                m = b - a
+                order = np.argsort(key[a:b])[: m - m * t.numerator // t.denominator]
+                at = np.flatnonzero(cls[a:b][order] > 1)
+                keep.append(order[at] + a)
+                pos.append(at)
+            count = [len(x) for x in pos]
+            if not sum(count):
+                continue
+            at, where = np.concatenate(keep), np.concatenate(pos)
+            g, own, sizes = grams[at], np.repeat(ids, count), np.repeat(4 * np.diff(offsets) + sides, count)
+            blocks = np.ceil(class_count(cls[at]) / HOT).astype(np.int64)
+            if (blocks > 1).any():
+                g, own, sizes, where = _cells(g, own, sizes, where, blocks)
+            yield _packed(g, own, sizes, where, partitions)
+
+    return records.select("id", "body", "in_train", "in_eval").mapInArrow(emit, "part int, rows binary")
+
+
+def matched_records(rows: DataFrame, t: Fraction, partitions: int) -> DataFrame:
+    """(a, b, k, shared): records a in train and b in evaluation that can have a similarity above t, by partition.
+
+    Such a pair shares at least ``least`` = floor(t / (1 + t) * (m_a + m_b)) + 1 n-grams. Of these the first
+    k = least - floor(t * max(m_a, m_b)) have more than t * max(m_a, m_b) n-grams at or after them in both
+    records, so they lie in both prefixes, and one of the partitions holds at least k / partitions of them.
+    ``shared`` counts them where a partition holds as many.
+    """
+    num, den = t.numerator, t.denominator
+    span = np.int64(1) << 32
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [_unpacked(rows) for batch in batches for rows in batch.column("rows").to_pylist()]
+        if not got:
+            return
+        g, ident, size, pos = (np.concatenate(x) for x in zip(*got))
+        del got
+        ids, doc = np.unique(ident, return_inverse=True)
+        side, m = size & 3, size >> 2
+        of = np.zeros(len(ids), dtype=np.int64)
+        of[doc] = m
+        rest = m - pos
+        e = np.flatnonzero(side & 2)
+        e = e[np.lexsort((m[e], g[e]))]
+        x = np.flatnonzero(side & 1)
+        keys = np.unique(g[e])
+        run = np.searchsorted(keys, g[x])
+        run[run == len(keys)] = 0
+        if not len(keys) or not len(x):
+            return
+        x, run = x[keys[run] == g[x]], run[keys[run] == g[x]]
+        by = np.argsort(doc[x], kind="stable")
+        x, run = x[by], run[by]
+        place = np.searchsorted(keys, g[e]) * span + m[e]
+        # Partners have more than t * m_a n-grams, and fewer than what a has from here on / t.
+        first = np.searchsorted(place, run * span + m[x] * num // den, side="right")
+        last = np.searchsorted(place, run * span + -(-rest[x] * den // num), side="left")
+        doc_x, doc_e, rest_e, m_x = doc[x], doc[e], rest[e], m[x]
+        del g, ident, size, pos, doc, side, m, rest, place, run
+        # Whole records of train a piece, so that all n-grams that a pair shares here are counted at once.
+        cost = np.cumsum(np.maximum(last - first, 0))
+        ends = np.append(np.flatnonzero(doc_x[1:] != doc_x[:-1]) + 1, len(x))
+        start = 0
+        while start < len(x):
+            before = int(cost[start - 1]) if start else 0
+            one, fit = np.searchsorted(ends, start, side="right"), np.searchsorted(cost[ends - 1], before + PAIRS, side="right")
+            end = int(ends[max(one, fit - 1)])
+            pairs = []
+            for i, j in _expanded(first[start:end], last[start:end], PAIRS):
+                i = i + start
+                near = rest_e[j] * den > m_x[i] * num
+                pairs.append(doc_x[i[near]] * len(ids) + doc_e[j[near]])
+            start = end
+            pair, count = np.unique(np.concatenate(pairs) if pairs else np.zeros(0, np.int64), return_counts=True)
+            a, b = np.divmod(pair, len(ids))
+            least = (of[a] + of[b]) * num // (num + den) + 1
+            k = least - np.maximum(of[a], of[b]) * num // den
+            ok = (a != b) & (count * partitions >= k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]]), pa.array(k[ok]), pa.array(count[ok])], names=["a", "b", "k", "shared"])
+
+    return rows.repartition(partitions, "part").mapInArrow(match, "a long, b long, k long, shared long")
+
+
+def gram_pairs(records: DataFrame, n: int, t: Fraction) -> DataFrame:
+    """(a, b), distinct: all pairs of a training and an evaluation record that can have a similarity above t."""
+    spark = records.sparkSession
+    size = records.agg(F.sum(F.length("body"))).first()[0] or 0
+    partitions = max(runtime.shuffle_partitions(spark), -(-size // PART_CHARS))
+    parts = matched_records(gram_rows(records, n, t, rarity(records, n), partitions), t, partitions)
+    # A partition that does not give the pair holds fewer than k / partitions of its n-grams.
+    unseen = (F.lit(partitions) - F.count("*")) * (F.ceil(F.max("k") / partitions) - 1)
+    return parts.groupBy("a", "b").agg((F.sum("shared") + unseen >= F.max("k")).alias("may")).where("may").select("a", "b")
+
+
 def overlapping_records(records: DataFrame, n: int, above: float) -> DataFrame:
     """(a, b, similarity): classes a with a training record and b with an evaluation record, a <> b.
 
     ``records`` has (id, body, in_train, in_eval), one row a distinct text. The overlap fraction is a
-    lower bound: it counts the kept chunks. Pairs are verified once, exactly.
+    lower bound: it counts the kept chunks, and is 0 where only n-grams show the pair. Pairs are verified
+    once, exactly.
     """
     t = Fraction(str(above))
     rows = chunk_rows(records, _counts(records))
@@ -149,7 +270,8 @@ def overlapping_records(records: DataFrame, n: int, above: float) -> DataFrame:
         .withColumn("fraction", F.col("overlap") / F.col("total"))
         .where(F.col("fraction") >= FRACTION)
     )
-    pairs = runtime.materialize(fractions, "overlaps")
+    both = fractions.select("a", "b", "fraction").unionByName(gram_pairs(records, n, t).withColumn("fraction", F.lit(0.0)))
+    pairs = runtime.materialize(both.groupBy("a", "b").agg(F.max("fraction").alias("fraction")), "overlaps")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     if 2 * pairs.count() <= SENT_IDS:
         wanted = F.broadcast(wanted)

@@ -181,3 +181,22 @@ def test_simhashes_do_not_depend_on_pieces(monkeypatch):
 def test_gram_sets():
     g, at = gram_sets(["abcabc", "ab", "", "x" * 10], 3)
     assert (at[1:] - at[:-1]).tolist() == [3, 1, 0, 1] and len(g) == 5
+
+
+def test_split_overlaps_find_pairs_with_edits_close_together(spark):
+    rng = random.Random(11)
+    letters = [chr(0x3042 + i) for i in range(60)]
+    texts, rows = [], []
+    for i in range(120):
+        base = [rng.choice(letters) for _ in range((60, 300, 600, 1200)[i % 4])]
+        other = list(base)
+        for _ in range(len(base) // rng.choice((10, 11, 12, 13))):
+            other[rng.randrange(len(base))] = rng.choice(letters)
+        if i % 3 == 0:  # the longer record holds text of its own
+            other += [rng.choice(letters) for _ in range(len(base) // 2)]
+        texts += [(f"t{i:03d}", "".join(base)), (f"u{i:03d}", "".join(other))]
+        rows += [("a", f"t{i:03d}", "train"), ("a", f"u{i:03d}", ("dev", "holdout")[i % 2])]
+    of = {k: s for _, k, s in rows}
+    want = {(a, b, of[b]) for a, b in similar(texts, 8, 0.3, strict=True)}
+    got = {tuple(r) for r in split_overlap.split_overlaps(clean(spark, texts), spark.createDataFrame(rows, "author_id string, article_id string, split string")).collect()}
+    assert len(want) > 20 and got == want
