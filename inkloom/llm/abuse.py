@@ -150,15 +150,14 @@ def _suspicious(text: str) -> bool:
     return next(_TERMS["all"].iter(text), None) is not None
 
 
-def sentence_features(sentence: str) -> list[float] | None:
-    """Features of one sentence; null if nothing in it is suspicious."""
+def sentence_features(sentence: str) -> list[float]:
+    """Features of one sentence; where no term of the lexicons occurs, those that need none, with a low prior."""
     sentence = _EMPHASIS.sub(r"\1", sentence) if "*" in sentence else sentence
     text, changed = undone(sentence)
     masked = _masked(_folded(sentence)) if any(c in sentence for c in MASKS) else 0
-    if not masked and not (_suspicious(text) and _HOT.search(text)):
-        return None
-    n = {k: len(p.findall(text)) for k, p in _PATTERNS.items()}
-    first = _HOT.search(text)
+    first = _HOT.search(text) if _suspicious(text) else None
+    lexical = bool(masked or first)
+    n = {k: len(p.findall(text)) if lexical or k in ("second", "ordinary") else 0 for k, p in _PATTERNS.items()}
     quoted = 0
     if first:
         before = text[: first.start()]
@@ -168,9 +167,11 @@ def sentence_features(sentence: str) -> list[float] | None:
     letters = [c for c in sentence if c.isalpha()]
     capitals = sum(c.isupper() for c in letters) / max(1, len(letters))
     hot = n["insult"] + n["threat"] + n["dehumanise"] + n["sexual"] + masked
-    hot_plain = len(_HOT.findall(_folded(sentence)))
+    hot_plain = len(_HOT.findall(_folded(sentence))) if lexical else 0
     prior = 1.6 * min(n["insult"] + masked, 2) + 1.5 * min(n["threat"], 2) + 1.8 * min(n["dehumanise"], 2) + 1.7 * min(n["sexual"], 2)
     prior += 0.8 * bool(seconds) + 0.8 * (hot > hot_plain) - 2.6 * min(n["ordinary"], 2) - 1.5 * quoted - 2.4
+    if not lexical:
+        prior = -5.0
     size = max(1, len(text))
     return [
         n["insult"], n["threat"], n["dehumanise"], n["sexual"], n["second"], n["ordinary"], quoted, near, float(hot > hot_plain) + changed * 0.1, masked,
@@ -179,14 +180,15 @@ def sentence_features(sentence: str) -> list[float] | None:
 
 
 def features(text: str | None) -> list[float]:
-    """Features of a document: those of its most suspicious sentence; zeros with a low prior if there is none."""
-    best, hot = None, 0
-    looks = bool(text) and (any(c in text for c in MASKS) or _suspicious(undone(text)[0]))
-    for s in _ENDS.split(text) if looks else ():
-        if s and len(s) > 1 and (f := sentence_features(s)) is not None:
-            hot += 1
-            if best is None or f[16] > best[16]:
-                best = f
+    """Features of a document: those of its most suspicious sentence, by the lexicons and else by the other features."""
+    best, most, hot = None, None, 0
+    for s in _ENDS.split(text) if text else ():
+        if s and len(s) > 1:
+            f = sentence_features(s)
+            hot += f[15] > 0
+            rank = (f[15] > 0, f[16], (f[4] > 0) + min(f[8], 1.0) + f[10] + min(f[11], 3) / 3)
+            if best is None or rank > most:
+                best, most = f, rank
     if best is None:
         return [0.0] * 16 + [-5.0, 0.0]
     best[17] = hot
@@ -249,10 +251,10 @@ class Boosted:
 
     def calibrate(self, margin: np.ndarray, y: np.ndarray) -> Boosted:
         """Isotonic regression of labels on margins by pooling neighbours that violate the order."""
-        order = np.argsort(margin, kind="stable")
+        at, row = np.unique(margin, return_inverse=True)  # equal margins are one pool
         pools: list[list[float]] = []
-        for m, label in zip(margin[order], y[order]):
-            pools.append([float(label), 1.0, float(m)])
+        for m, positive, rows in zip(at, np.bincount(row, weights=y), np.bincount(row)):
+            pools.append([float(positive), float(rows), float(m)])
             while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
                 s, n, m2 = pools.pop()
                 pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, m2]
@@ -274,8 +276,7 @@ def fit(x: np.ndarray, y: np.ndarray, folds: int = 5) -> Boosted:
     fold = np.arange(len(y)) % folds
     for k in range(folds):
         held[fold == k] = Boosted().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
-    model = Boosted().fit(x, y)
-    return model.calibrate(held, y) if y.sum() >= 20 else model
+    return Boosted().fit(x, y).calibrate(held, y)
 
 
 def label_sample(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> DataFrame:

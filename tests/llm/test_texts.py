@@ -190,3 +190,21 @@ def test_abuse_on_tables(spark):
     got = abuse.scored(docs, abuse.train(docs, labels))
     assert {r["doc_id"] for r in got.where("score >= 0.5").collect()} == {1}
     assert abuse.scored(docs.limit(0), abuse.train(docs, labels.limit(0))).count() == 0
+
+
+def test_abuse_features_of_documents_outside_the_lexicons():
+    f = dict(zip(abuse.FEATURES, abuse.features("Обычный день. ТЫ ПРОСТО НИКТО!!! Вечер.")))
+    assert f["exclaim"] >= 1 and f["capitals"] > 0.9 and f["length"] > 0 and f["any_hot"] == 0 and f["prior"] < 0
+    assert dict(zip(abuse.FEATURES, abuse.features("Ein Tag. Du bist ein g a n z e r Kerl!")))["second"] == 1
+    assert dict(zip(abuse.FEATURES, abuse.features("n\u200bi\u200bx da drin")))["undone"] > 0
+
+
+def test_abuse_is_calibrated_with_few_labels():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, len(abuse.FEATURES)))
+    y = (np.arange(40) % 8 == 0).astype(float)
+    x[:, abuse.FEATURES.index("prior")] = np.where(y > 0, 2.0, -3.0)
+    steps = abuse.fit(x, y).steps
+    assert len(steps[0]) >= 2 and len(set(steps[0].tolist())) == len(steps[0])
+    tied = abuse.Boosted().calibrate(np.zeros(4), np.array([0.0, 0.0, 1.0, 1.0]))
+    assert tied.steps[1].tolist() == [0.5]
