@@ -69,6 +69,22 @@ def sentences(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.regexp_replace(s, SPACE + "+$", ""))
 
 
+def sentence_spans(text: Column) -> Column:
+    """Array of (s, e, text) of a text's sentences: places in it, end exclusive, without trailing white space."""
+    pieces = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
+    # What stands before each sentence: the text is cut at the sentences themselves.
+    gaps = F.transform(F.split(text, SENTENCE, -1), lambda g: F.length(g))
+    both = F.zip_with(pieces, F.slice(gaps, 1, F.size(pieces)), lambda p, g: F.struct(p.alias("p"), g.alias("g")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,text:string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["at"] + x["g"]
+        kept = F.regexp_replace(x["p"], SPACE + "+$", "")
+        return F.struct((s + F.length(x["p"])).alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), (s + F.length(kept)).alias("e"), kept.alias("text"))).alias("out"))
+
+    return F.aggregate(both, start, step, lambda acc: acc["out"])
+
+
 def sentence_core(sentence: Column) -> Column:
     return F.regexp_replace(sentence, CORE_STRIP, "")
 
@@ -135,10 +151,25 @@ def unmasked(text: Column, masked: Column) -> Column:
     )
 
 
-def raw_offset(raw_map: Column, offset: Column) -> Column:
-    """The raw offset of a prose offset: last map entry that begins at or before it, clamped to its length."""
-    last = F.element_at(F.filter(raw_map, lambda m: m["out"] <= offset), -1)
-    return last["raw"] + F.least(offset - last["out"], last["len"])
+def raw_offset(raw_map: Column, char_start: Column, offset: Column) -> Column:
+    """The raw offset of a prose offset: last map entry that begins at or before it (the first one if none does),
+    clamped to its length; without a map the segment's start."""
+    before = F.filter(raw_map, lambda m: m["out"] <= offset)
+    last = F.coalesce(F.try_element_at(before, F.lit(-1)), F.try_element_at(raw_map, F.lit(1)))
+    return F.coalesce(last["raw"] + F.when(last["len"] > 0, F.least(offset - last["out"], last["len"])).otherwise(0), char_start)
+
+
+def raw_span(raw_map: Column, char_start: Column, start: Column, end: Column) -> Column:
+    """Struct (s, e): the raw range of a prose range; its end is one after the raw place of the last character."""
+    s = raw_offset(raw_map, char_start, start)
+    e = raw_offset(raw_map, char_start, F.greatest(end - 1, start)) + 1
+    return F.struct(s.cast("int").alias("s"), F.greatest(e, s).cast("int").alias("e"))
+
+
+def masked_in(masked: Column, start: Column, end: Column) -> Column:
+    """The masked spans that overlap a range, clipped to it and counted from its start."""
+    hit = F.filter(masked, lambda m: (m["s"] < end) & (m["e"] > start))
+    return F.transform(hit, lambda m: F.struct((F.greatest(m["s"], start) - start).cast("int").alias("s"), (F.least(m["e"], end) - start).cast("int").alias("e")))
 
 
 def windows(text: Column, n: int) -> Column:
@@ -151,3 +182,14 @@ def ngrams(text: Column, n: int) -> Column:
     t = F.regexp_replace(text, SPACE + "+", "")
     short = F.when(t == "", F.array().cast("array<string>")).otherwise(F.array(t))
     return F.when(F.length(t) < n, short).otherwise(F.array_distinct(windows(t, n)))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two arrays without repeats: 1 if both are empty, 0 if one is."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
+
+
+def containment(a: Column, b: Column) -> Column:
+    """The share of a's elements that b has; 0 if a is empty."""
+    return F.when(F.size(a) == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))

@@ -13,6 +13,20 @@ def sentence_rows(texts: DataFrame, keys: list[str], column: str = "text") -> Da
     return texts.select(*keys, F.posexplode_outer(T.sentences(F.col(column))).alias("pos", "sentence")).where("sentence is not null")
 
 
+def built_sentences(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, pos, sentence, prose_span, raw_span, masked of segments(keys, text, char_start, raw_map, masked).
+
+    Spans are structs (s, e), ends exclusive: of the sentence in its segment and in the raw text; masked spans
+    are clipped to the sentence and count from its start. Null and blank texts give no rows.
+    """
+    at = segments.select(*keys, "char_start", "raw_map", "masked", F.posexplode_outer(T.sentence_spans(F.col("text"))).alias("pos", "x")).where("x is not null")
+    s, e = F.col("x.s"), F.col("x.e")
+    return at.select(
+        *keys, "pos", F.col("x.text").alias("sentence"), F.struct(s.alias("s"), e.alias("e")).alias("prose_span"),
+        T.raw_span(F.col("raw_map"), F.col("char_start"), s, e).alias("raw_span"), T.masked_in(F.col("masked"), s, e).alias("masked"),
+    )
+
+
 def sentence_lengths(sentences: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n_sents, median, quartiles and maximum of sentence lengths."""
     n = F.length("sentence")

@@ -5,9 +5,7 @@ N-grams travel as 64-bit hashes; results are exact up to collisions.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import runtime
@@ -47,53 +45,139 @@ def best_source(contained: DataFrame, a: str, b: str) -> DataFrame:
     return contained.withColumn("r", F.row_number().over(w)).where("r = 1").select(a, F.col(b).alias("source"), F.col("containment").alias("best"))
 
 
-def similar_pairs(texts: DataFrame, key: str, n: int = 5, threshold: float = 0.8, column: str = "text") -> DataFrame:
-    """a, b, jaccard of different keys with Jaccard of at least the threshold: prefix, length and positional filter.
+#: An n-gram of more texts than this is joined in blocks of about so many.
+HOT = 4096
+
+
+def _blocked(rows: DataFrame) -> DataFrame:
+    """Rows (g, df, id, ...) with block, nb and cell: those of a hot n-gram go to each cell of a triangular grid.
+
+    Two rows of one n-gram meet in the cell of their blocks; ``_once`` keeps the pairs that belong there.
+    """
+    nb = F.ceil(F.col("df") / HOT).cast("int")
+    out = rows.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.least(F.col("block"), j) * F.col("nb") + F.greatest(F.col("block"), j))
+    return out.withColumn("cell", F.explode(cells))
 
-    Grams are ranked rare first; a pair that reaches the threshold shares a gram of both prefixes. Equal
-    texts are joined on all their prefix grams as well, so collapse them first where they are many.
+
+def _once(block_a: Column, block_b: Column, cell: Column, nb: Column) -> Column:
+    return cell == F.least(block_a, block_b) * nb + F.greatest(block_a, block_b)
+
+
+def class_pairs(classes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """a, b, jaccard: pairs of classes(id, text, mask) of at least the threshold: prefix, length and positional filter.
+
+    Masks are sets of bits: a pair counts if both together have two bits at least (3 for classes that may pair
+    with any other, one bit a side where only pairs across sides count). N-grams are ranked rare first; a pair
+    that reaches the threshold shares one of both prefixes.
     """
-    grams = runtime.materialize(gram_rows(texts, key, n, column), "grams")
+    hashed = F.array_distinct(F.transform(T.ngrams(F.col("text"), n), lambda g: F.xxhash64(g)))
+    grams = runtime.materialize(classes.select("id", F.explode(hashed).alias("g")), "grams")
     df = grams.groupBy("g").agg(F.count("*").alias("df"))
-    w = Window.partitionBy(key)
+    w = Window.partitionBy("id")
     ranked = grams.join(df, "g").withColumn("size", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("df", "g")))
-    prefix = runtime.materialize(ranked.where((F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1) & (F.col("df") > 1)).select("g", key, "size", "rank"), "prefix")
-    x = prefix.select("g", F.col(key).alias("a"), F.col("size").alias("n_a"), F.col("rank").alias("r_a"))
-    y = prefix.select("g", F.col(key).alias("b"), F.col("size").alias("n_b"), F.col("rank").alias("r_b"))
+    within = F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
+    prefix = ranked.where(within & (F.col("df") > 1)).join(classes.select("id", "mask"), "id").select("g", "df", "id", "mask", "size", "rank")
+    rows = runtime.materialize(_blocked(prefix), "prefix")
+    x = rows.select("g", "cell", "nb", F.col("block").alias("block_a"), F.col("id").alias("a"), F.col("mask").alias("mask_a"), F.col("size").alias("n_a"), F.col("rank").alias("r_a"))
+    y = rows.select("g", "cell", F.col("block").alias("block_b"), F.col("id").alias("b"), F.col("mask").alias("mask_b"), F.col("size").alias("n_b"), F.col("rank").alias("r_b"))
     t = threshold / (1 + threshold)
     rest = F.least(F.col("n_a") - F.max("r_a"), F.col("n_b") - F.max("r_b"))
     # At the first shared gram the overlap is at most the smaller rest; earlier shared grams pass as well.
     reach = F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b")) + 1 >= (F.col("n_a") + F.col("n_b")) * t - 1e-9
-    close = reach & (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
-    candidates = (
-        x.join(y, "g").where((F.col("a") < F.col("b")) & close).groupBy("a", "b", "n_a", "n_b").agg((F.count("*") + rest).alias("most")).where(F.col("most") >= (F.col("n_a") + F.col("n_b")) * t - 1e-9)
-    )
-    # Verification touches the grams of candidates only.
-    ga, gb = grams.select(F.col(key).alias("a"), "g"), grams.select(F.col(key).alias("b"), "g")
-    shared = candidates.select("a", "b", "n_a", "n_b").join(ga, "a").join(gb, ["b", "g"]).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    scored = shared.withColumn("jaccard", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")))
-    return scored.where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+    close = (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
+    sides = F.bit_count(F.col("mask_a").bitwiseOR(F.col("mask_b"))) >= 2
+    meets = (F.col("a") < F.col("b")) & close & reach & sides & _once(F.col("block_a"), F.col("block_b"), F.col("cell"), F.col("nb"))
+    candidates = x.join(y, ["g", "cell"]).where(meets).groupBy("a", "b", "n_a", "n_b").agg((F.count("*") + rest).alias("most")).where(F.col("most") >= (F.col("n_a") + F.col("n_b")) * t - 1e-9)
+    # Verification: each side's n-grams once a pair, as sorted arrays.
+    sets = grams.groupBy("id").agg(F.collect_list("g").alias("s"))  # of one text
+    both = candidates.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
+    scored = both.select("a", "b", T.jaccard(F.col("s_a"), F.col("s_b")).alias("jaccard"))
+    return scored.where(F.col("jaccard") >= threshold)
+
+
+def _expanded(links: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """Pairs of members(id, key) of different linked classes and, with similarity 1, of one class."""
+    x, y = members.select(F.col("id").alias("a"), F.col(key).alias("x")), members.select(F.col("id").alias("b"), F.col(key).alias("y"))
+    across = links.join(x, "a").join(y, "b").select("x", "y", "jaccard")
+    same = x.join(y, x["a"] == y["b"]).select("x", "y", F.lit(1.0).alias("jaccard"))
+    out = across.unionByName(same).where("x <> y")
+    return out.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("jaccard").alias("jaccard"))
+
+
+def _classes(texts: DataFrame, n: int, column: str) -> DataFrame:
+    """texts with id, the class of texts that are equal but for white space; texts without n-grams are left out."""
+    squeezed = F.regexp_replace(column, T.SPACE + "+", "")
+    return texts.withColumn("text", squeezed).where(F.col("text") != "").withColumn("id", F.xxhash64("text"))
+
+
+def similar_pairs(texts: DataFrame, key: str, n: int = 5, threshold: float = 0.8, column: str = "text") -> DataFrame:
+    """a, b, jaccard of different keys with Jaccard of at least the threshold. Equal texts are compared once."""
+    rows = _classes(texts.select(key, F.col(column).alias("_t")), n, "_t")
+    classes = rows.groupBy("id").agg(F.first("text").alias("text")).withColumn("mask", F.lit(3))
+    return _expanded(class_pairs(classes, n, threshold), rows.select("id", key).distinct(), key)
+
+
+def cross_pairs(texts: DataFrame, key: str, side: str, n: int, threshold: float, column: str = "text") -> DataFrame:
+    """a, b, side_a, side_b, jaccard: pairs of at least the threshold whose keys lie on different sides.
+
+    ``texts`` has one row a key and side; sides are few (a bit each).
+    """
+    rows = _classes(texts.select(key, side, F.col(column).alias("_t")), n, "_t")
+    names = sorted(r[0] for r in texts.select(side).where(F.col(side).isNotNull()).distinct().collect())  # few by definition
+    bit = F.element_at(F.create_map(*(x for i, s in enumerate(names) for x in (F.lit(s), F.lit(1 << i)))), F.col(side)) if names else F.lit(0)
+    classes = rows.where(F.col(side).isNotNull()).groupBy("id").agg(F.first("text").alias("text"), F.bit_or(bit).alias("mask"))
+    members = rows.where(F.col(side).isNotNull()).select("id", key, side).distinct()
+    links = class_pairs(classes, n, threshold)
+    x, y = (members.select(F.col("id").alias(c), F.col(key).alias(k), F.col(side).alias(f"side_{c}")) for c, k in (("a", "x"), ("b", "y")))
+    across = links.join(x, "a").join(y, "b").where("x <> y and side_a <> side_b")
+    same = x.join(y, x["a"] == y["b"]).where("x <> y and side_a <> side_b").withColumn("jaccard", F.lit(1.0))
+    both = across.select("x", "y", "side_a", "side_b", "jaccard").unionByName(same.select("x", "y", "side_a", "side_b", "jaccard"))
+    first = F.col("x") < F.col("y")
+    return both.select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("side_a")).otherwise(F.col("side_b")).alias("side_a"), F.when(first, F.col("side_b")).otherwise(F.col("side_a")).alias("side_b"), "jaccard"
+    ).distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """id, root: connected components by least id, with pointer jumping; only nodes with an edge.
+    """id, root: connected components by least id; only nodes with an edge. Null ends and loops count as no edge.
 
-    Each round is written to the shared folder; about log(diameter) rounds.
+    Each round hooks every root to its least neighbour if that is smaller, follows these hooks to their
+    ends, and contracts the edges to the roots. A root that stays has been hooked to, or is hooked in
+    the next round, so that the roots of a component halve in two rounds whatever its shape; rounds go on
+    until no edge is left. Each round is written to the shared folder.
     """
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
-    both = runtime.materialize(both, "edges")
-    label = runtime.materialize(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("root")).select(F.col("x").alias("id"), "root"), "label")
-    for _ in range(2 + math.ceil(math.log2(max(2, label.count()))) * 2):
-        near = both.join(label.select(F.col("id").alias("y"), F.col("root").alias("of")), "y").groupBy("x").agg(F.min("of").alias("of"))
-        least = label.join(near, label["id"] == near["x"]).select("id", F.col("root").alias("old"), F.least("root", "of").alias("new"))
-        jump = label.select(F.col("id").alias("new"), F.col("root").alias("far"))
-        step = runtime.materialize(least.join(jump, "new", "left").select("id", "old", F.least("new", "far").alias("root")), "label")
-        label = step.select("id", "root")
-        if step.where("old <> root").isEmpty():
-            break
+    x, y = F.col(a).alias("x"), F.col(b).alias("y")
+    half = edges.where((F.col(a) != F.col(b)) & F.col(a).isNotNull() & F.col(b).isNotNull())
+    left = runtime.materialize(half.select(x, y).unionByName(half.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct(), "edges")
+    label = runtime.materialize(left.select(F.col("x").alias("id"), F.col("x").alias("root")).distinct(), "label")
+    while not left.isEmpty():
+        hooks = runtime.materialize(left.groupBy("x").agg(F.min("y").alias("to")).where("to < x"), "hooks")
+        hooks = _followed(hooks)
+        new = runtime.materialize(label.join(hooks.withColumnRenamed("x", "root"), "root", "left").select("id", F.coalesce("to", "root").alias("root")), "label")
+        to = hooks.select(F.col("x").alias("end"), "to")
+        moved = left.join(to, left["x"] == to["end"], "left").select(F.coalesce("to", "x").alias("x"), "y")
+        moved = moved.join(to, moved["y"] == to["end"], "left").select("x", F.coalesce("to", "y").alias("y"))
+        kept = runtime.materialize(moved.where("x <> y").distinct(), "edges")
+        runtime.drop(label, left, hooks)
+        label, left = new, kept
     return label
 
 
+def _followed(hooks: DataFrame) -> DataFrame:
+    """Hooks (x, to) followed to their ends: doubling the length that is followed in each round."""
+    while True:
+        on = hooks.select(F.col("x").alias("at"), F.col("to").alias("far"))
+        step = runtime.materialize(hooks.join(on, hooks["to"] == on["at"], "left").select("x", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")), "hooks")
+        runtime.drop(hooks)
+        if step.where("moved").isEmpty():
+            out = step.select("x", "to")
+            out._inkloom_path = step._inkloom_path
+            return out
+        path, hooks = step._inkloom_path, step.select("x", "to")
+        hooks._inkloom_path = path
+
+
 def canonical(members: DataFrame, cluster: str, key: str, date: str) -> DataFrame:
     """cluster, canonical: the oldest member, undated ones last, ties by key."""
     w = Window.partitionBy(cluster).orderBy(F.coalesce(date, F.lit("9999-99-99")), key)

@@ -183,11 +183,25 @@ def unmasked_text(spark, folder):
     return s.select("article_id", "block_index", T.unmasked(F.col("text"), F.col("masked")).alias("out_text"))
 
 
-@query("SELECT article_id, block_index, char_end - 1 - len.raw - least(len.len, 0) AS tail FROM (SELECT article_id, block_index, char_end, raw_map[len(raw_map)] AS len FROM (SELECT DISTINCT article_id, block_index, char_end, raw_map FROM segments))")
-def last_raw_entry(spark, folder):
-    s = runtime.table(spark, folder, "segments").select("article_id", "block_index", "char_end", "raw_map").distinct()
-    at = F.element_at("raw_map", -1)
-    return s.select("article_id", "block_index", (F.col("char_end") - 1 - T.raw_offset(F.col("raw_map"), at["out"])).alias("tail"))
+_RAW = "list_filter(raw_map, lambda m: m.out <= {o})"
+
+
+def _raw_at(o: str) -> str:
+    e = f"coalesce(list_extract({_RAW.format(o=o)}, -1), raw_map[1])"
+    return f"coalesce(({e}).raw + CASE WHEN ({e}).len > 0 THEN least({o} - ({e}).out, ({e}).len) ELSE 0 END, char_start)"
+
+
+@query(
+    f"""WITH s AS (SELECT DISTINCT article_id, block_index, text, char_start, raw_map FROM segments WHERE text IS NOT NULL), x AS (SELECT *, regexp_extract_all(text, '{T.SENTENCE}') AS pieces, string_split_regex(text, '{T.SENTENCE}') AS gaps FROM s),
+  y AS (SELECT article_id, block_index, char_start, raw_map, pieces, gaps, UNNEST(range(1, len(pieces) + 1)) AS i FROM x),
+  z AS (SELECT article_id, block_index, char_start, raw_map, CAST(i - 1 AS INT) AS pos, list_sum(list_transform(gaps[:i], lambda g: length(g))) + coalesce(list_sum(list_transform(pieces[:i - 1], lambda p: length(p))), 0) AS a,
+  length(regexp_replace(pieces[i], '{_S}+$', '')) AS n FROM y)
+  SELECT DISTINCT article_id, block_index, pos, CAST(a AS INT) AS prose_start, CAST(a + n AS INT) AS prose_end, CAST({_raw_at('a')} AS INT) AS raw_start, CAST(greatest({_raw_at('(a + n - 1)')} + 1, {_raw_at('a')}) AS INT) AS raw_end FROM z"""
+)
+def sentence_spans(spark, folder):
+    s = runtime.table(spark, folder, "segments").where("text is not null").select("article_id", "block_index", "text", "char_start", "raw_map", "masked").distinct()
+    rows = features.built_sentences(s, ["article_id", "block_index"])
+    return rows.select("article_id", "block_index", "pos", F.col("prose_span.s").alias("prose_start"), F.col("prose_span.e").alias("prose_end"), F.col("raw_span.s").alias("raw_start"), F.col("raw_span.e").alias("raw_end")).distinct()
 
 
 # ---- predicates over documents and the manifest ----
@@ -365,20 +379,19 @@ _LEAKS = f"""b AS ({_BODIES}), g AS ({_grams(8, 'article_id', 'body', 'b')}), {_
   l AS (SELECT a, b, p.split AS split_a, q.split AS split_b, jaccard FROM j JOIN sp p ON p.article_id = a JOIN sp q ON q.article_id = b AND p.split <> q.split)"""
 
 
-def _leaks(spark, folder) -> DataFrame:
-    bodies = _bodies(spark, folder)
-    parts = runtime.table(spark, folder, "splits").select("article_id", "split").distinct()
-    near = ngrams.similar_pairs(bodies, "article_id", 8, 0.3, "body")
-    a, b = (parts.select(F.col("article_id").alias(k), F.col("split").alias(f"split_{k}")) for k in "ab")
-    return near.join(a, "a").join(b, "b").where("split_a <> split_b and jaccard > 0.3")
+def _leaks(spark, folder) -> Callable[[float], DataFrame]:
+    parts = runtime.table(spark, folder, "splits").select("article_id", "split").where("article_id is not null and split is not null").distinct()
+    texts = runtime.materialize(_bodies(spark, folder).join(parts, "article_id"), "split_texts")
+    return lambda t: ngrams.cross_pairs(texts, "article_id", "split", 8, t, "body")
 
 
 @query(f"WITH {_LEAKS} SELECT a, b, split_a, split_b, round(jaccard, 4) AS jaccard FROM l WHERE jaccard > 0.3")
 def leak_pairs(spark, folder):
-    return _r(_leaks(spark, folder).select("a", "b", "split_a", "split_b", "jaccard"), 4)
+    pairs = _leaks(spark, folder)(0.3).where("jaccard > 0.3")
+    return _r(pairs.select("a", "b", F.col("side_a").alias("split_a"), F.col("side_b").alias("split_b"), "jaccard"), 4)
 
 
-@query(f"WITH {_LEAKS} SELECT round(coalesce(max(jaccard), 0.0), 6) AS max_jaccard, count(*) AS leaks, count(*) = 0 AS passed FROM l WHERE jaccard > 0.3")
+@query(f"WITH {_LEAKS} SELECT round(coalesce(max(jaccard), 0.0), 6) AS max_jaccard, count(*) FILTER (jaccard > 0.3) AS leaks, count(*) FILTER (jaccard > 0.3) = 0 AS passed FROM l")
 def leak_summary(spark, folder):
     return _r(corpus.leak_summary(_leaks(spark, folder)))
 
@@ -711,7 +724,7 @@ def feedback_report(spark, folder):
 
 @query()
 def block_classify(spark, folder):
-    d = blocks.with_blocks(runtime.spread(_documents(spark, folder)))
+    d = blocks.with_blocks(_documents(spark, folder))
     return d.select("doc_id", F.posexplode("blocks").alias("block_index", "b")).select("doc_id", "block_index", "b.*")
 
 

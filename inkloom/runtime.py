@@ -11,6 +11,7 @@ import weakref
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
+_RUNS: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,15 +34,38 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIRS[sc.applicationId]
 
 
+def _path(spark: SparkSession, path: str):
+    """A path and its file system, by the session's Hadoop settings."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a parquet table in the shared folder and return a scan of it.
+    """Write ``df`` as a parquet table in the run's part of the shared folder and return a scan of it.
 
-    This cuts the lineage with replicated storage: a lost executor costs a re-read, not a recomputation.
+    This cuts the lineage with replicated storage: a lost executor costs a re-read, not a recomputation. The
+    run's folder is removed when the application ends; ``drop`` removes a table that is no longer read.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/inkloom-{name}-{uuid.uuid4().hex}"
+    run = f"{shared_dir(spark)}/inkloom-{spark.sparkContext.applicationId}"
+    if run not in _RUNS:
+        at, files = _path(spark, run)
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _RUNS.add(run)
+    path = f"{run}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._inkloom_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` made, once nothing reads them any more."""
+    for df in tables:
+        at, files = _path(df.sparkSession, df._inkloom_path)
+        files.delete(at, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -60,7 +84,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least one partition a core, for work that is heavy on CPU.
 
-    Only input of few splits moves; a large input has enough of them and is returned as it is.
+    Only input of few splits moves; a large input has enough of them and is returned as it is. Call it on
+    scans and projections of them only: counting the partitions of anything else would run its shuffles.
     """
     least = cores(df.sparkSession)
     return df.repartition(least) if df.rdd.getNumPartitions() < least else df

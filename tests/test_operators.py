@@ -48,7 +48,7 @@ def test_ngrams_of_short_and_astral_text(spark):
 
 def test_raw_offsets_and_unmasked_text(spark):
     row = spark.createDataFrame([("ab識別子cd", [(2, 5)], [(0, 10, 2), (2, 20, 0), (5, 30, 2)])], "t string, m array<struct<s:int,e:int>>, r array<struct<out:int,raw:int,len:int>>")
-    got = row.select(T.unmasked(F.col("t"), F.col("m")).alias("u"), *(T.raw_offset(F.col("r"), F.lit(i)).alias(f"o{i}") for i in (0, 1, 4, 6))).first()
+    got = row.select(T.unmasked(F.col("t"), F.col("m")).alias("u"), *(T.raw_offset(F.col("r"), F.lit(0), F.lit(i)).alias(f"o{i}") for i in (0, 1, 4, 6))).first()
     assert got["u"] == "abcd" and [got[f"o{i}"] for i in (0, 1, 4, 6)] == [10, 11, 20, 31]
 
 
@@ -272,4 +272,73 @@ def test_empty_tables_give_empty_results(spark):
     s = features.sentence_rows(none, ["k"])
     for f in (features.sentence_lengths, features.ending_shares, features.longest_run, features.hedge_stats, features.comma_position_stats):
         assert f(s, ["k"]).count() == 0
-    assert corpus.leak_summary(spark.createDataFrame([], "jaccard double")).first()["passed"]
+    assert corpus.leak_summary(lambda t: spark.createDataFrame([], "jaccard double")).first()["passed"]
+
+
+def _roots(edges):
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            ra, rb = find(a), find(b)
+            parent[max(ra, rb)] = min(ra, rb)
+    return {x: find(x) for x in parent}
+
+
+@pytest.mark.parametrize("shape", ["random", "descending", "zigzag", "ring", "forest"])
+def test_components_of_long_paths_equal_union_find(spark, shape):
+    import random
+
+    n, rng = 10_000 if shape in ("random", "descending", "zigzag") else 500, random.Random(4)
+    order = list(range(n))
+    if shape == "random":
+        rng.shuffle(order)
+    elif shape == "descending":
+        order.reverse()
+    elif shape == "zigzag":
+        order = [i // 2 if i % 2 == 0 else n - 1 - i // 2 for i in range(n)]
+    edges = list(zip(order, order[1:]))
+    if shape == "ring":
+        edges += [(order[-1], order[0]), (3, 3), (7, 8), (8, 7)]
+    elif shape == "forest":
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(n // 2)]
+    got = {r["id"]: r["root"] for r in ngrams.components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == _roots(edges)
+
+
+def test_components_of_no_edges_and_null_ends(spark):
+    assert ngrams.components(spark.createDataFrame([(1, None), (2, 2), (None, None)], "a int, b int")).count() == 0
+
+
+def test_frontmatter_needs_a_line_between_its_marks():
+    assert blocks.frontmatter("---\n---\nx") == ({}, 0)
+    assert blocks.frontmatter("---\nlicense: CC0\nodd: 1\nstrata:\n---\nbody") == ({"license": "CC0", "strata": None}, 34)
+
+
+def test_longest_matches_equal_brute_force():
+    import random
+
+    from inkloom.operators.overlap import Matcher
+
+    rng = random.Random(5)
+    for _ in range(300):
+        t, s = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 40))) for _ in range(2))
+        least, want, i = rng.randint(2, 6), [], 0
+        while i < len(t):
+            n, j = max(((next((k for k in range(min(len(t) - i, len(s) - j) + 1) if t[i : i + k] != s[j : j + k]), min(len(t) - i, len(s) - j) + 1) - 1, -j) for j in range(len(s))), default=(0, 0))
+            want += [(i, -j, n)] if n >= least else []
+            i += n if n >= least else 1
+        assert Matcher(s).matches(t, least) == want
+
+
+def test_raw_offsets_without_a_map_and_before_it(spark):
+    rows = [([], 7, 3), ([(2, 10, 4)], 7, 0), ([(0, 10, 2), (2, 20, 0), (5, 30, 4)], 7, 4), ([(0, 10, 2)], 7, 9), (None, 7, 1)]
+    df = spark.createDataFrame(rows, "raw_map array<struct<out:int,raw:int,len:int>>, char_start int, o int")
+    assert [r[0] for r in df.select(T.raw_offset(F.col("raw_map"), F.col("char_start"), F.col("o"))).collect()] == [7, 8, 20, 12, 7]
