@@ -119,7 +119,7 @@ def undone(text: str) -> tuple[str, int]:
     """A text with disguises undone (look-alikes, gaps, repeats, digits for letters), and how many there were."""
     t = _folded(text)
     count = 0
-    if not t.isascii():
+    if not text.isascii():
         count = len(_INVISIBLE.findall(text))
         if _CROSS_SCRIPT.search(t):
             from .confusables import unify
