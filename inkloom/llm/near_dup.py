@@ -2,14 +2,15 @@
 
 Plan, with no shuffle of all texts, one of prefix n-grams and one of candidate pairs:
 
-1. Each text gets a class, the 64-bit hash of the text, and a sketch; they are written once as a table.
-   Equal texts have equal rows from here on: each batch sends a class once, and equal rows merge.
-2. A fixed-size table of n-gram document counts (hashed into ``BUCKETS``) gives one global order, rare
-   first. The order affects speed only: any total order gives the same pairs.
+1. Each text gets a class, the 64-bit hash of the text, and a sketch; they are written once as a table. Of
+   equal texts one row goes on, so that a text that is repeated a million times is compared once.
+2. A fixed-size table of n-gram document counts (hashed into ``BUCKETS``) and a list of the hot n-grams
+   with their own counts give one global order, rare first. The order affects speed only: any total order
+   gives the same pairs.
 3. Each class sends the prefix of its ordered n-grams, keyed by n-gram. Within a key, rows are matched
    under the length, positional and suffix filter (bounds on the overlap from the shared n-gram on, and
-   on the Hamming distance of what stands before and after it). Frequent n-grams are cut into blocks of rows, so
-   that no task holds a whole hot key.
+   on the Hamming distance of what stands before and after it). Hot n-grams are cut into blocks of rows by
+   their counts, so that no task holds a whole hot key.
 4. Distinct pairs pass a second suffix filter over the whole sets: sketches bound the Hamming distance.
 5. Each remaining pair is verified once on the full sets.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,59 +36,120 @@ from .vec import gram_sets, intersection_size, slices
 #: Entries of the table of n-gram document counts (one byte each when broadcast): a fixed bound.
 BUCKETS = 1 << 22
 SLICES = 64
-#: An n-gram in more documents than this is joined in blocks of so many rows.
+#: An n-gram in more documents than this is joined in blocks of about so many rows.
 HOT = 1 << 13
+#: An n-gram in so many documents of one slice of texts is counted on its own.
+LOCAL = 16
 #: Most ids (eight bytes each) that are broadcast.
 SENT_IDS = 1 << 20
 #: Longs of a sketch.
 WORDS = 8
+#: Prefix n-grams a partition is made for, and those packed at once.
+PART_ROWS, FLUSH = 2_000_000, 1 << 21
 
 
-def rarity(texts: DataFrame, n: int) -> np.ndarray:
-    """Rank class (0 rarest) per n-gram bucket over all rows of ``texts(body)``: BUCKETS bytes.
+class Ranks(NamedTuple):
+    """Rank classes by bucket (0 rarest), and the hot n-grams (sorted hashes) with their document counts."""
+
+    table: np.ndarray
+    hot: np.ndarray
+    counts: np.ndarray
+
+    def of(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank class of each n-gram, hot ones last by count, and its number of blocks of rows."""
+        cls = self.table[(grams & np.uint64(BUCKETS - 1)).astype(np.int64)]
+        blocks = np.ones(len(grams), dtype=np.int64)
+        if len(self.hot):
+            maybe = np.flatnonzero(cls >= LOCAL)
+            at = np.searchsorted(self.hot, grams[maybe])
+            at[at == len(self.hot)] = 0
+            same = self.hot[at] == grams[maybe]
+            where, count = maybe[same], self.counts[at[same]]
+            blocks[where] = -(-count // HOT)
+            cls = cls.copy()
+            cls[where] = np.minimum(255, 192 + np.log2(count).astype(np.int64)).astype(np.uint8)
+        return cls, blocks
+
+
+def rarity(texts: DataFrame, n: int) -> Ranks:
+    """Ranks of n-grams over all rows of ``texts(body)``, equal texts given once.
 
     Each partition sends counts in SLICES fixed-size slices, one byte a bucket (a count above 255 in one
-    partition is frequent enough to come last); the driver gets one byte a bucket.
+    partition is frequent enough to come last), and the counts of n-grams that are frequent in a slice of
+    its texts. An n-gram counts as hot from ``HOT`` documents and ``LOCAL`` a slice on, so that the hot ones are
+    at most (characters a slice) / LOCAL, about 131,000, whatever the size of the data.
     """
     width = BUCKETS // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.uint32)
+        frequent: dict[int, int] = {}
+        parts = 0
         for batch in slices(batches, "body"):
             grams, _ = gram_sets(batch.column(0).to_pylist(), n)
-            total += np.bincount((grams & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
-        if total.any():
+            bucket = (grams & np.uint64(BUCKETS - 1)).astype(np.int64)
+            here = np.bincount(bucket, minlength=BUCKETS).astype(np.uint32)
+            total += here
+            parts += 1
+            many = grams[here[bucket] >= LOCAL]
+            if len(many):
+                h, c = np.unique(many, return_counts=True)
+                for x, y in zip(h[c >= LOCAL].tolist(), c[c >= LOCAL].tolist()):
+                    frequent[x] = frequent.get(x, 0) + y
+        if parts:
             for s in range(SLICES):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([s], pa.int32()), pa.array([np.minimum(total[s * width : (s + 1) * width], 255).astype(np.uint8).tobytes()], pa.binary())],
                     names=["slice", "counts"],
                 )
+            keys = np.array(list(frequent), dtype=np.uint64)
+            own = (keys & np.uint64(SLICES - 1)).astype(np.int64)
+            values = np.array(list(frequent.values()), dtype=np.uint64)
+            for s in range(SLICES):
+                held = np.concatenate([[np.uint64(parts)], keys[own == s], values[own == s]]).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array([s - SLICES], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["slice", "counts"])
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, dtype=np.uint64)
-        for batch in batches:
-            for counts in batch.column("counts").to_pylist():
-                total += np.frombuffer(counts, dtype=np.uint8)
-        # Four classes per doubling, exact below eight documents.
-        cls = np.where(total < 8, total, np.floor(np.log2(np.maximum(total, 1).astype(np.float64)) * 4) - 4)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(cls, 255).astype(np.uint8).tobytes()], pa.binary())],
-            names=["slice", "classes"],
-        )
+        place = key[0].as_py()
+        if place < 0:
+            parts, sums = 0, {}
+            for batch in batches:
+                for counts in batch.column("counts").to_pylist():
+                    held = np.frombuffer(counts, dtype=np.uint64)
+                    parts += int(held[0])
+                    half = (len(held) - 1) // 2
+                    for x, y in zip(held[1 : 1 + half].tolist(), held[1 + half :].tolist()):
+                        sums[x] = sums.get(x, 0) + y
+            hot = sorted((x, y) for x, y in sums.items() if y >= max(HOT, LOCAL * parts))
+            out = np.array(hot, dtype=np.uint64).tobytes()
+        else:
+            total = np.zeros(width, dtype=np.uint64)
+            for batch in batches:
+                for counts in batch.column("counts").to_pylist():
+                    total += np.frombuffer(counts, dtype=np.uint8)
+            # Four classes per doubling, exact below eight documents; hot n-grams come after all classes.
+            cls = np.where(total < 8, total, np.floor(np.log2(np.maximum(total, 1).astype(np.float64)) * 4) - 4)
+            out = np.minimum(cls, 191).astype(np.uint8).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([out], pa.binary())], names=["slice", "classes"])
 
     merged = texts.select("body").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(merge, "slice int, classes binary")
-    table = np.zeros(BUCKETS, dtype=np.uint8)
-    for row in merged.collect():  # SLICES rows of fixed size
-        table[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["classes"], dtype=np.uint8)
-    return table
+    table, hot = np.zeros(BUCKETS, dtype=np.uint8), [np.zeros((0, 2), dtype=np.uint64)]
+    for row in merged.collect():  # 2 * SLICES rows of bounded size
+        if row["slice"] < 0:
+            hot.append(np.frombuffer(row["classes"], dtype=np.uint64).reshape(-1, 2))
+        else:
+            table[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["classes"], dtype=np.uint8)
+    pairs = np.concatenate(hot)
+    pairs = pairs[np.argsort(pairs[:, 0])]
+    return Ranks(table, pairs[:, 0].copy(), pairs[:, 1].astype(np.int64))
 
 
-def class_count(cls: np.ndarray) -> np.ndarray:
-    """About the document count of rank classes, which sets the number of blocks of hot n-grams."""
-    return np.where(cls < 8, cls, np.ceil(2.0 ** ((cls.astype(np.float64) + 5) / 4)))
+def as_given(rows: DataFrame, partitions: int) -> DataFrame:
+    """Rows by their column part, each value a partition of its own; ids go to partitions as they are, not by hash."""
+    return rows.repartitionById(partitions, "part")
 
 
-def prefix_rows(classes: DataFrame, n: int, threshold: Fraction, ranks: np.ndarray, partitions: int) -> DataFrame:
+def prefix_rows(classes: DataFrame, n: int, threshold: Fraction, ranks: Ranks, partitions: int) -> DataFrame:
     """(part, rows): the prefix n-grams of each class in rare-first order, packed by partition of the n-gram.
 
     Packed rows hold (g, id, size, pos); 40 bits of the n-gram's hash are a key good enough, as pairs are verified.
@@ -94,24 +157,23 @@ def prefix_rows(classes: DataFrame, n: int, threshold: Fraction, ranks: np.ndarr
     N-grams that occur in one document only are left out, but keep their position. ``g`` of a hot n-gram
     also holds the cell of a triangular grid of row blocks; each row goes to every cell of its block.
     """
-    shared = classes.sparkSession.sparkContext.broadcast(ranks)  # BUCKETS bytes
+    shared = classes.sparkSession.sparkContext.broadcast(tuple(ranks))  # BUCKETS bytes and a bounded list
     num, den = threshold.numerator, threshold.denominator
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        order_of = Ranks(*shared.value)
+        held, waiting = [], 0
         for batch in slices(batches, "body"):
-            ids, at = np.unique(batch.column(0).to_numpy(), return_index=True)
-            grams, offsets = gram_sets(batch.column(1).take(pa.array(at)).to_pylist(), n)
-            cls = table[(grams & np.uint64(BUCKETS - 1)).astype(np.int64)]
+            ids = batch.column(0).to_numpy()
+            grams, offsets = gram_sets(batch.column(1).to_pylist(), n)
+            cls, blocks = order_of.of(grams)
             # Sorting (class, upper bits of the hash) of a text by one 64-bit key; ties end in the same order everywhere.
             key = (cls.astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8))
             keep, pos, size, owner = [], [], [], []
             for i in range(len(ids)):
                 a, b = int(offsets[i]), int(offsets[i + 1])
                 m = b - a
-                if not m:
-                    continue
-                p = m - (m * num + den - 1) // den + 1
+                p = m - (m * num + den - 1) // den + 1 if m else 0
                 order = np.argsort(key[a:b])[:p] if p * 4 > m else np.argpartition(key[a:b], p)[:p]
                 if p * 4 <= m:
                     order = order[np.argsort(key[a:b][order])]
@@ -120,17 +182,17 @@ def prefix_rows(classes: DataFrame, n: int, threshold: Fraction, ranks: np.ndarr
                 pos.append(at)
                 size.append(m)
                 owner.append(len(at))
-            if not keep:
+            at = np.concatenate(keep) if keep else np.zeros(0, np.int64)
+            if not len(at):
                 continue
-            at = np.concatenate(keep)
-            g, where, c = grams[at], np.concatenate(pos), cls[at]
-            live = [i for i in range(len(ids)) if offsets[i + 1] > offsets[i]]
-            own = np.repeat(ids[live], owner)
-            sizes = np.repeat(np.array(size), owner)
-            blocks = np.ceil(class_count(c) / HOT).astype(np.int64)
-            if (blocks > 1).any():
-                g, own, sizes, where = _cells(g, own, sizes, where, blocks)
-            yield _packed(g, own, sizes, where, partitions)
+            rows = (grams[at], np.repeat(ids, owner), np.repeat(np.array(size), owner), np.concatenate(pos))
+            held.append(_cells(*rows, blocks[at]))
+            waiting += len(held[-1][0])
+            if waiting >= FLUSH:
+                yield _packed(*(np.concatenate(x) for x in zip(*held)), partitions)
+                held, waiting = [], 0
+        if held:
+            yield _packed(*(np.concatenate(x) for x in zip(*held)), partitions)
 
     return classes.select("id", "body").mapInArrow(emit, "part int, rows binary")
 
@@ -142,13 +204,11 @@ def _packed(g, own, sizes, where, partitions: int) -> pa.RecordBatch:
     part = (key % np.uint64(partitions)).astype(np.int64)
     order = np.lexsort((key, part))
     key, doc, where, part = key[order], doc[order], where[order], part[order]
-    edges = np.searchsorted(part, np.arange(partitions + 1))
+    edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
     big = "<u2" if len(docs) < 1 << 16 and sizes.max(initial=0) < 1 << 16 else "<u4"
     out = []
-    for p in range(partitions):
-        a, b = edges[p], edges[p + 1]
-        if b == a:
-            continue
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        p = int(part[a])
         used, mine = np.unique(doc[a:b], return_inverse=True)
         steps = np.diff(key[a:b], prepend=np.uint64(0)).astype("<u8")
         head = np.array([b - a, len(used), int(big[2]), int(docs[used[0]])], dtype="<i8")
@@ -177,6 +237,8 @@ def _unpacked(rows: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 def _cells(g, own, sizes, where, blocks):
     """Copy the rows of hot n-grams to each cell (i, j), i <= j, of their block."""
     cold = blocks <= 1
+    if cold.all():
+        return [g, own, sizes, where]
     out = [[x[cold] for x in (g, own, sizes, where)]]
     for i in np.flatnonzero(~cold):
         nb = int(blocks[i])
@@ -220,7 +282,7 @@ def matched_pairs(rows: DataFrame, threshold: Fraction, partitions: int) -> Data
             new &= x != y
             yield pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new])], names=["a", "b"])
 
-    return rows.repartition(partitions, "part").mapInArrow(match, "a long, b long")
+    return as_given(rows, partitions).mapInArrow(match, "a long, b long")
 
 
 def _expanded(first: np.ndarray, last: np.ndarray, most: int = 1 << 20):
@@ -259,7 +321,6 @@ def with_sketch(texts: DataFrame, n: int) -> DataFrame:
 def candidate_pairs(matches: DataFrame, classes: DataFrame, threshold: Fraction) -> DataFrame:
     """(a, b): the distinct matched pairs whose sketches are near enough."""
     num, den = threshold.numerator, threshold.denominator
-    classes = classes.select("id", "size", "sketch").dropDuplicates(["id"])
     a = classes.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
     b = classes.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
     apart = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(WORDS)), F.lit(0))
@@ -281,7 +342,7 @@ def verified_pairs(pairs: DataFrame, classes: DataFrame, n: int, threshold: Frac
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     if 2 * pairs.count() <= SENT_IDS:
         wanted = F.broadcast(wanted)
-    bodies = classes.select("id", "body").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    bodies = classes.select("id", "body").join(wanted, "id", "left_semi")
     left = bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a"))
     right = bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b"))
 
@@ -310,14 +371,27 @@ def near_duplicates(bodies: DataFrame, n: int = 5, threshold: float = 0.8, min_c
     """
     spark = bodies.sparkSession
     t = Fraction(str(threshold))
-    kept = bodies.where(F.length("body") >= min_chars).select("article_id", "body", F.xxhash64("body").alias("id"), F.length("body").alias("chars"))
+    kept = bodies.where(F.length("body") >= min_chars).select(
+        "article_id", "body", F.xxhash64("body").alias("id"), F.length("body").alias("chars"), F.monotonically_increasing_id().alias("row")
+    )
     texts = runtime.materialize(with_sketch(runtime.spread(kept), n), "texts")
-    size = texts.agg(F.sum("chars")).first()[0] or 0
-    partitions = max(runtime.shuffle_partitions(spark), math.ceil(size * (1 - float(t)) / 1e6))
-    rows = prefix_rows(texts, n, t, rarity(texts, n), partitions)
-    sized = texts.withColumn("size", F.greatest(F.lit(1), F.col("chars") - (n - 1)))
+    one = first_rows(texts)
+    size = one.agg(F.sum("chars")).first()[0] or 0
+    partitions = max(runtime.shuffle_partitions(spark), math.ceil(size * (1 - float(t)) / PART_ROWS))
+    rows = prefix_rows(one, n, t, rarity(one, n), partitions)
+    sized = one.withColumn("size", F.greatest(F.lit(1), F.col("chars") - (n - 1)))
     pairs = candidate_pairs(matched_pairs(rows, t, partitions), sized, t)
-    return texts.select("article_id", "id").distinct(), verified_pairs(pairs, texts, n, t)
+    return texts.select("article_id", "id").distinct(), verified_pairs(pairs, one, n, t)
+
+
+def first_rows(texts: DataFrame) -> DataFrame:
+    """One row of ``texts(id, row, ...)`` for each id. What is shuffled is ids and row numbers, not texts.
+
+    The rows to leave out are broadcast where they are few (counted: at most SENT_IDS), and joined otherwise.
+    """
+    first = texts.groupBy("id").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("id", "first")
+    more = runtime.materialize(texts.select("id", "row").join(first, "id").where("row <> first").select("row"), "copies")
+    return texts.join(F.broadcast(more) if more.count() <= SENT_IDS else more, "row", "left_anti")
 
 
 def p1_found(spark, folder: str) -> DataFrame:

@@ -5,13 +5,13 @@ A rolling hash of ``WINDOW`` characters cuts each normalised record where the ha
 splits; the lengths of shared chunks sum to overlap fractions. A pair goes on if its kept chunks share at
 least ``FRACTION`` of the longer record, and is verified exactly by n-gram similarity.
 
+Before the join, chunks are ordered rare first and the most frequent ones left out as long as what is left
+out is shorter than ``FRACTION`` of the record. Chunks found on one side only are dropped by a fixed-size
+table of both sides' counts; a digest frequent in training is joined in blocks, by its count.
+
 Chunks guarantee nothing for pairs whose edits stand close together, so every record also sends the
 rare-first prefix of its n-grams (``gram_pairs``), which no pair above the threshold can escape. Results are
 exact up to collisions of 64-bit hashes.
-
-Before the join, chunks are ordered rare first and the most frequent ones left out as long as what is left
-out is shorter than ``FRACTION`` of the record, so that each pair that shares twice the fraction goes on.
-Chunks found on one side only are dropped by a fixed-size table of both sides' counts.
 """
 
 from __future__ import annotations
@@ -26,15 +26,16 @@ from pyspark.sql import functions as F
 
 from .. import runtime
 from .bodies import squeezed_bodies
-from .near_dup import BUCKETS as RANKS
-from .near_dup import HOT, SENT_IDS, _cells, _expanded, _packed, _unpacked, class_count, rarity
+from .near_dup import FLUSH, SENT_IDS, Ranks, _cells, _expanded, _packed, _unpacked, as_given, rarity
 from .vec import code_points, gram_sets, intersection_size, mix, rolling_hashes, slices
 
 WINDOW = 4
 MEAN = 16
-FRACTION = 0.1
-#: Records below SHORT characters have few chunks, so they are also cut into chunks of about FINE.
-SHORT, FINE = 256, 4
+#: A pair goes on from the chunk stage if it shares this part of the longer record: the limit of similarity. Pairs of
+#: less are found by their n-grams.
+FRACTION = 0.3
+#: A digest of more training records than this is joined in blocks of about so many.
+HOT = 1 << 12
 #: Entries of the table of chunk counts, two bytes each when broadcast: a fixed bound.
 BUCKETS = 1 << 22
 SLICES = 64
@@ -55,7 +56,7 @@ def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Digests and lengths of the distinct chunks of each text, flat, and the texts' offsets in them."""
     flat, offsets = code_points(texts)
     rolled = rolling_hashes(flat, WINDOW)
-    scales = [(rolled % np.uint64(m) == 0, np.uint64(m)) for m in (MEAN, FINE)]
+    points = rolled % np.uint64(MEAN) == 0
     # Prefix sums of position-free terms give the digest of any chunk in one subtraction and product.
     power, back = (_powers(x, len(flat)) for x in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
     spread = mix(flat.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
@@ -63,14 +64,10 @@ def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     digests, lengths, counts = [], [], [0]
     for i in range(len(texts)):
         a, b = int(offsets[i]), int(offsets[i + 1])
-        both = []
-        for points, scale in scales[: 2 if b - a < SHORT else 1]:
-            inner = np.flatnonzero(points[a : max(a, b - WINDOW)]) + a + WINDOW
-            edges = np.concatenate([[a], inner, [b]]) if b > a else np.zeros(1, np.int64)
-            length = np.diff(edges)
-            both.append((mix((sums[edges[1:]] - sums[edges[:-1]]) * back[edges[:-1]] + length.astype(np.uint64) * scale), length))
-        size = np.concatenate([length for _, length in both])
-        d, at = np.unique(np.concatenate([d for d, _ in both]), return_index=True)
+        inner = np.flatnonzero(points[a : max(a, b - WINDOW)]) + a + WINDOW
+        edges = np.concatenate([[a], inner, [b]]) if b > a else np.zeros(1, np.int64)
+        size = np.diff(edges)
+        d, at = np.unique(mix((sums[edges[1:]] - sums[edges[:-1]]) * back[edges[:-1]] + size.astype(np.uint64)), return_index=True)
         digests.append(d)
         lengths.append(size[at])
         counts.append(len(d))
@@ -79,7 +76,10 @@ def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _counts(records: DataFrame) -> np.ndarray:
-    """Counts of records by chunk bucket (up to 255) for both sides: two bytes a bucket, over all records."""
+    """Classes of counts of records by chunk bucket for both sides, over all records: two bytes a bucket.
+
+    A class of c stands for about 2 ** (c / 8) - 1 records, and is exact for none; a partition counts up to 255.
+    """
     width = BUCKETS // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +100,8 @@ def _counts(records: DataFrame) -> np.ndarray:
         for batch in batches:
             for counts in batch.column("counts").to_pylist():
                 total += np.frombuffer(counts, dtype=np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())], names=["slice", "counts"])
+        classes = np.minimum(np.ceil(8 * np.log2(total + 1.0)), 255).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([classes.tobytes()], pa.binary())], names=["slice", "counts"])
 
     rows = records.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(merge, "slice int, counts binary").collect()  # SLICES rows of fixed size
     table = np.zeros((2, BUCKETS), dtype=np.uint8)
@@ -110,10 +111,7 @@ def _counts(records: DataFrame) -> np.ndarray:
 
 
 def chunk_rows(records: DataFrame, table: np.ndarray) -> DataFrame:
-    """(digest, id, total, rest, length, in_train, in_eval): the chunks of each record that are joined.
-
-    ``rest`` is the length of the record's chunks that are left out or come later in rare-first order.
-    """
+    """(digest, id, total, length, blocks, in_train, in_eval): the chunks of each record that are joined."""
     shared = records.sparkSession.sparkContext.broadcast(table)  # 2 * BUCKETS bytes
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +121,8 @@ def chunk_rows(records: DataFrame, table: np.ndarray) -> DataFrame:
             n = np.diff(offsets)
             own = np.repeat(np.arange(len(n)), n)
             b = (d & np.uint64(BUCKETS - 1)).astype(np.int64)
-            both = counts[:, b].astype(np.int32)
-            order = np.lexsort((d, both.sum(0), own))
+            both = counts[:, b]
+            order = np.lexsort((d, np.maximum(both[0], both[1]), own))
             d, lengths, both, own = d[order], lengths[order], both[:, order], own[order]
             upto = np.cumsum(lengths)
             total = np.bincount(own, weights=lengths, minlength=len(n)).astype(np.int64)
@@ -133,28 +131,32 @@ def chunk_rows(records: DataFrame, table: np.ndarray) -> DataFrame:
             at = own[keep]
             pick = pa.array(at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(d[keep].view(np.int64)), batch.column("id").take(pick), pa.array(total[at]), pa.array(lengths[keep].astype(np.int64)), batch.column("in_train").take(pick), batch.column("in_eval").take(pick)],
-                names=["digest", "id", "total", "length", "in_train", "in_eval"],
+                [
+                    pa.array(d[keep].view(np.int64)), batch.column("id").take(pick), pa.array(total[at]), pa.array(lengths[keep].astype(np.int64)),
+                    pa.array(np.ceil(2.0 ** (both[0][keep] / 8.0) / HOT).astype(np.int32)), batch.column("in_train").take(pick), batch.column("in_eval").take(pick),
+                ],
+                names=["digest", "id", "total", "length", "blocks", "in_train", "in_eval"],
             )
 
-    return records.mapInArrow(emit, "digest long, id long, total long, length long, in_train boolean, in_eval boolean")
+    return records.mapInArrow(emit, "digest long, id long, total long, length long, blocks int, in_train boolean, in_eval boolean")
 
 
-def gram_rows(records: DataFrame, n: int, t: Fraction, ranks: np.ndarray, partitions: int) -> DataFrame:
+def gram_rows(records: DataFrame, n: int, t: Fraction, ranks: Ranks, partitions: int) -> DataFrame:
     """(part, rows): the prefix n-grams of each record in rare-first order, packed by partition of the n-gram.
 
     The prefix of m n-grams leaves out the last floor(t * m). Packed rows hold (g, id, size, pos), where
     size is 4 * m, plus 1 in train, plus 2 in evaluation. N-grams of one record only keep their position.
     """
-    shared = records.sparkSession.sparkContext.broadcast(ranks)  # RANKS bytes
+    shared = records.sparkSession.sparkContext.broadcast(tuple(ranks))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        order_of = Ranks(*shared.value)
+        held, waiting = [], 0
         for batch in slices(batches, "body"):
             ids = batch.column("id").to_numpy()
             sides = batch.column("in_train").to_numpy(zero_copy_only=False) + 2 * batch.column("in_eval").to_numpy(zero_copy_only=False).astype(np.int64)
             grams, offsets = gram_sets(batch.column("body").to_pylist(), n)
-            cls = table[(grams & np.uint64(RANKS - 1)).astype(np.int64)]
+            cls, blocks = order_of.of(grams)
             key = (cls.astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8))
             keep, pos = [], []
             for i in range(len(ids)):
@@ -167,12 +169,14 @@ def gram_rows(records: DataFrame, n: int, t: Fraction, ranks: np.ndarray, partit
             count = [len(x) for x in pos]
             if not sum(count):
                 continue
-            at, where = np.concatenate(keep), np.concatenate(pos)
-            g, own, sizes = grams[at], np.repeat(ids, count), np.repeat(4 * np.diff(offsets) + sides, count)
-            blocks = np.ceil(class_count(cls[at]) / HOT).astype(np.int64)
-            if (blocks > 1).any():
-                g, own, sizes, where = _cells(g, own, sizes, where, blocks)
-            yield _packed(g, own, sizes, where, partitions)
+            at = np.concatenate(keep)
+            held.append(_cells(grams[at], np.repeat(ids, count), np.repeat(4 * np.diff(offsets) + sides, count), np.concatenate(pos), blocks[at]))
+            waiting += len(held[-1][0])
+            if waiting >= FLUSH:
+                yield _packed(*(np.concatenate(x) for x in zip(*held)), partitions)
+                held, waiting = [], 0
+        if held:
+            yield _packed(*(np.concatenate(x) for x in zip(*held)), partitions)
 
     return records.select("id", "body", "in_train", "in_eval").mapInArrow(emit, "part int, rows binary")
 
@@ -237,7 +241,7 @@ def matched_records(rows: DataFrame, t: Fraction, partitions: int) -> DataFrame:
             ok = (a != b) & (count * partitions >= k)
             yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]]), pa.array(k[ok]), pa.array(count[ok])], names=["a", "b", "k", "shared"])
 
-    return rows.repartition(partitions, "part").mapInArrow(match, "a long, b long, k long, shared long")
+    return as_given(rows, partitions).mapInArrow(match, "a long, b long, k long, shared long")
 
 
 def gram_pairs(records: DataFrame, n: int, t: Fraction) -> DataFrame:
@@ -260,10 +264,10 @@ def overlapping_records(records: DataFrame, n: int, above: float) -> DataFrame:
     """
     t = Fraction(str(above))
     rows = chunk_rows(records, _counts(records))
-    train = rows.where("in_train").select("digest", "length", F.col("id").alias("a"), F.col("total").alias("total_a"))
-    other = rows.where("in_eval").select("digest", F.col("id").alias("b"), F.col("total").alias("total_b"))
+    train = rows.where("in_train").select("digest", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "length", F.col("id").alias("a"), F.col("total").alias("total_a"))
+    other = rows.where("in_eval").select("digest", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("total").alias("total_b"))
     fractions = (
-        train.join(other, "digest")
+        train.join(other, ["digest", "block"])
         .where("a <> b")
         .groupBy("a", "b")
         .agg(F.sum("length").alias("overlap"), F.max(F.greatest("total_a", "total_b")).alias("total"))
