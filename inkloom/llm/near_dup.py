@@ -20,6 +20,7 @@ Results are exact up to collisions of 64-bit hashes.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 from typing import NamedTuple
@@ -44,6 +45,8 @@ LOCAL = 16
 SENT_IDS = 1 << 20
 #: Longs of a sketch.
 WORDS = 8
+#: Bits of the table of n-grams found on one side, as a power of two: four megabytes a side.
+SIDE_BITS = 25
 #: Prefix n-grams a partition is made for, and those packed at once.
 PART_ROWS, FLUSH = 2_000_000, 1 << 21
 
@@ -54,6 +57,14 @@ class Ranks(NamedTuple):
     table: np.ndarray
     hot: np.ndarray
     counts: np.ndarray
+    sides: np.ndarray  # (2, bytes): which n-grams may occur in training, in evaluation; empty where no side is told
+
+    def across(self, grams: np.ndarray, in_train: np.ndarray, in_eval: np.ndarray) -> np.ndarray:
+        """Whether each n-gram of a row on the given sides may occur on the side opposite."""
+        at = (grams >> np.uint64(64 - SIDE_BITS)).astype(np.int64)
+        byte, bit = at >> 3, (7 - (at & 7)).astype(np.uint8)
+        train, held_out = ((self.sides[k][byte] >> bit & 1).astype(bool) for k in (0, 1))
+        return in_train & held_out | in_eval & train
 
     def of(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank class of each n-gram, hot ones last by count, and its number of blocks of rows."""
@@ -72,7 +83,7 @@ class Ranks(NamedTuple):
 
 
 def rarity(texts: DataFrame, n: int) -> Ranks:
-    """Ranks of n-grams over all rows of ``texts(body)``, equal texts given once.
+    """Ranks of n-grams over all rows of ``texts(body)``, equal texts given once; with (in_train, in_eval) also the sides.
 
     Each partition sends counts in SLICES fixed-size slices, one byte a bucket (a count above 255 in one
     partition is frequent enough to come last), and the counts of n-grams that are frequent in a slice of
@@ -80,13 +91,18 @@ def rarity(texts: DataFrame, n: int) -> Ranks:
     at most (characters a slice) / LOCAL, about 131,000, whatever the size of the data.
     """
     width = BUCKETS // SLICES
+    sided = "in_train" in texts.columns
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.uint32)
+        met = np.zeros((2, 1 << SIDE_BITS if sided else 0), dtype=bool)
         frequent: dict[int, int] = {}
         parts = 0
         for batch in slices(batches, "body"):
-            grams, _ = gram_sets(batch.column(0).to_pylist(), n)
+            grams, offsets = gram_sets(batch.column(0).to_pylist(), n)
+            for k in range(2 if sided else 0):
+                on = np.repeat(batch.column(1 + k).to_numpy(zero_copy_only=False), np.diff(offsets))
+                met[k, (grams[on] >> np.uint64(64 - SIDE_BITS)).astype(np.int64)] = True
             bucket = (grams & np.uint64(BUCKETS - 1)).astype(np.int64)
             here = np.bincount(bucket, minlength=BUCKETS).astype(np.uint32)
             total += here
@@ -102,6 +118,9 @@ def rarity(texts: DataFrame, n: int) -> Ranks:
                     [pa.array([s], pa.int32()), pa.array([np.minimum(total[s * width : (s + 1) * width], 255).astype(np.uint8).tobytes()], pa.binary())],
                     names=["slice", "counts"],
                 )
+            packed = np.packbits(met, axis=1).reshape(2, SLICES, -1)
+            for s in range(SLICES if sided else 0):
+                yield pa.RecordBatch.from_arrays([pa.array([s + SLICES], pa.int32()), pa.array([zlib.compress(packed[:, s].tobytes(), 1)], pa.binary())], names=["slice", "counts"])
             keys = np.array(list(frequent), dtype=np.uint64)
             own = (keys & np.uint64(SLICES - 1)).astype(np.int64)
             values = np.array(list(frequent.values()), dtype=np.uint64)
@@ -122,6 +141,12 @@ def rarity(texts: DataFrame, n: int) -> Ranks:
                         sums[x] = sums.get(x, 0) + y
             hot = sorted((x, y) for x, y in sums.items() if y >= max(HOT, LOCAL * parts))
             out = np.array(hot, dtype=np.uint64).tobytes()
+        elif place >= SLICES:
+            met = np.zeros((2, (1 << SIDE_BITS) // 8 // SLICES), dtype=np.uint8)
+            for batch in batches:
+                for packed in batch.column("counts").to_pylist():
+                    met |= np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(met.shape)
+            out = met.tobytes()
         else:
             total = np.zeros(width, dtype=np.uint64)
             for batch in batches:
@@ -132,16 +157,19 @@ def rarity(texts: DataFrame, n: int) -> Ranks:
             out = np.minimum(cls, 191).astype(np.uint8).tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([out], pa.binary())], names=["slice", "classes"])
 
-    merged = texts.select("body").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(merge, "slice int, classes binary")
+    merged = texts.select("body", *(["in_train", "in_eval"] if sided else [])).mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(merge, "slice int, classes binary")
     table, hot = np.zeros(BUCKETS, dtype=np.uint8), [np.zeros((0, 2), dtype=np.uint64)]
-    for row in merged.collect():  # 2 * SLICES rows of bounded size
+    sides = np.zeros((2, SLICES if sided else 0, (1 << SIDE_BITS) // 8 // SLICES), dtype=np.uint8)
+    for row in merged.collect():  # at most 3 * SLICES rows of bounded size
         if row["slice"] < 0:
             hot.append(np.frombuffer(row["classes"], dtype=np.uint64).reshape(-1, 2))
+        elif row["slice"] >= SLICES:
+            sides[:, row["slice"] - SLICES] = np.frombuffer(row["classes"], dtype=np.uint8).reshape(2, -1)
         else:
             table[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["classes"], dtype=np.uint8)
     pairs = np.concatenate(hot)
     pairs = pairs[np.argsort(pairs[:, 0])]
-    return Ranks(table, pairs[:, 0].copy(), pairs[:, 1].astype(np.int64))
+    return Ranks(table, pairs[:, 0].copy(), pairs[:, 1].astype(np.int64), sides.reshape(2, -1))
 
 
 def as_given(rows: DataFrame, partitions: int) -> DataFrame:

@@ -145,7 +145,9 @@ def gram_rows(records: DataFrame, n: int, t: Fraction, ranks: Ranks, partitions:
     """(part, rows): the prefix n-grams of each record in rare-first order, packed by partition of the n-gram.
 
     The prefix of m n-grams leaves out the last floor(t * m). Packed rows hold (g, id, size, pos), where
-    size is 4 * m, plus 1 in train, plus 2 in evaluation. N-grams of one record only keep their position.
+    size is 4 * m, plus 1 in train, plus 2 in evaluation. N-grams that are not found on the side opposite are
+    left out (by tables of a fixed size, which pass all n-grams of far more text than they have bits) and keep
+    their position.
     """
     shared = records.sparkSession.sparkContext.broadcast(tuple(ranks))
 
@@ -154,16 +156,18 @@ def gram_rows(records: DataFrame, n: int, t: Fraction, ranks: Ranks, partitions:
         held, waiting = [], 0
         for batch in slices(batches, "body"):
             ids = batch.column("id").to_numpy()
-            sides = batch.column("in_train").to_numpy(zero_copy_only=False) + 2 * batch.column("in_eval").to_numpy(zero_copy_only=False).astype(np.int64)
+            train, held_out = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("in_train", "in_eval"))
+            sides = train + 2 * held_out.astype(np.int64)
             grams, offsets = gram_sets(batch.column("body").to_pylist(), n)
             cls, blocks = order_of.of(grams)
+            sent = order_of.across(grams, np.repeat(train, np.diff(offsets)), np.repeat(held_out, np.diff(offsets)))
             key = (cls.astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8))
             keep, pos = [], []
             for i in range(len(ids)):
                 a, b = int(offsets[i]), int(offsets[i + 1])
                 m = b - a
                 order = np.argsort(key[a:b])[: m - m * t.numerator // t.denominator]
-                at = np.flatnonzero(cls[a:b][order] > 1)
+                at = np.flatnonzero(sent[a:b][order])
                 keep.append(order[at] + a)
                 pos.append(at)
             count = [len(x) for x in pos]
