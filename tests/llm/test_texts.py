@@ -129,14 +129,41 @@ def test_repeated_lines(spark):
     rows += [("b0", [(0, "body", "Follow us for more stories", 0, 1)]), ("n", None), ("a0", rows[0][1])]
     clean = spark.createDataFrame(rows, f"article_id string, blocks {blocks}")
     manifest = spark.createDataFrame([(f"a{i}", f"https://{'www.' * (i % 2)}s.test/{i}") for i in range(5)] + [("b0", "https://o.test/"), ("n", "https://s.test/"), ("a1", None)], "article_id string, canonical_url string")
-    articles = site_lines.site_articles(manifest, clean)
-    lines = site_lines.parsed_lines(articles)
-    hot = site_lines.repeated_templates(lines)
-    found = lines.join(hot, ["site", "depth", "leaf"], "left_semi").select("article_id", "block_index", "line_no").distinct()
+    found = site_lines.site_lines(manifest, clean)
     assert {tuple(r) for r in found.collect()} == {(f"a{i}", 0, 1) for i in range(5)}
     cut = site_lines.without_repeated_lines(clean, found).where("block_index = 0 and article_id = 'a3'").first()
     assert cut["text"] == f"本文{chr(0x3042 + 3)}の独自の内容です"
-    assert site_lines.repeated_templates(lines.limit(0)).count() == 0
+    assert site_lines.site_lines(manifest.limit(0), clean).count() == 0 == site_lines.site_lines(manifest, clean.limit(0)).count()
+
+
+def test_repeated_lines_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    shared = ["Share this page with friends", "この記事をシェアする", "ｓｈａｒｅ this PAGE with  friends 12", "Written by Someone Else 99", "著者：山田 太郎（2020年）", "abc de", "No. 123456"]
+    rows, urls = [], []
+    for i in range(120):
+        lines = [rng.choice(shared) if rng.random() < 0.4 else "This line is " + "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 6))]
+        rows.append((f"k{i}", [(0, "body", "\n".join(lines[:3]), 0, 1), (1, rng.choice(["quote", "code"]), "\n".join(lines[3:]), 0, 1)]))
+        urls.append((f"k{i}", f"https://site{i % 7}.test/{i}"))
+    clean = spark.createDataFrame(rows, "article_id string, blocks array<struct<block_index:int,type:string,text:string,char_start:int,char_end:int>>").repartition(5)
+    seen, where = {}, []
+    for (k, blocks), (_, url) in zip(rows, urls):
+        for at, kind, text, *_ in blocks:
+            for n, line in enumerate(text.split("\n") if kind != "code" else ()):
+                form = site_lines.template(line)
+                if site_lines.letters(form) >= 6:
+                    seen.setdefault((url.split("/")[2], form), set()).add(k)
+                    where.append((k, at, n, (url.split("/")[2], form)))
+    got = site_lines.site_lines(spark.createDataFrame(urls, "article_id string, canonical_url string"), clean)
+    assert {tuple(r) for r in got.collect()} == {(k, at, n) for k, at, n, key in where if len(seen[key]) >= 5}
+
+
+def test_slots_of_templates(spark):
+    rows = [("s", 1, f"a{i}", [5, 6, i, 7]) for i in range(20)] + [("s", 2, f"a{i}", [5, 6, i % 3]) for i in range(20)]
+    lines = spark.createDataFrame(rows, "site string, leaf long, article_id string, tokens array<int>")
+    got = {r["leaf"]: r["n"] for r in site_lines.with_templates(lines).groupBy("leaf").agg(F.count_distinct("template").alias("n")).collect()}
+    assert got == {1: 1, 2: 3}
 
 
 @pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary")
