@@ -5,14 +5,12 @@ r"""Sentence units in any script, as offsets, all in SQL expressions.
 2. A separator is inserted after each remaining terminator, by rules of its script; after quotations that
    stand alone; after line breaks that follow complete text.
 3. The text is cut at the separators. As masking keeps lengths, lengths give offsets in the original
-   text, and the original text is restored by them.
-
-Quadratic steps are limited to the number of units of one text (offsets are prefix sums of an array).
+   text (a running sum over the pieces), and the original text is restored by them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import runtime
@@ -119,7 +117,9 @@ def _groups() -> list[tuple[str, list[tuple[str, str]]]]:
 
 def with_marks(texts: DataFrame) -> DataFrame:
     """``texts(text, kind, ...)`` and _marked: the text with masks and separators, but for these as long as the text."""
-    out = texts.withColumn("_marked", F.col("text"))
+    # Characters of the text that masks stand for are put aside, one for one: only places are taken from marked text.
+    own = "[\\x{e000}-\\x{e0ff}]"
+    out = texts.withColumn("_marked", F.when(F.col("text").rlike(own), F.regexp_replace("text", own, "¤")).otherwise(F.col("text")))
     for condition, steps in _groups():
         new = F.col("_marked")
         for pattern, to in steps:
@@ -136,16 +136,16 @@ def with_spans(texts: DataFrame) -> DataFrame:
     once for each use; for the same reason spans are exploded with explode_outer, below which no filter is
     inferred.
     """
-    cut = with_marks(texts.drop("spans", "_pieces", "_sizes", "_starts")).withColumn("_pieces", F.split("_marked", SEP, -1)).drop("_marked")
+    cut = with_marks(texts.drop("spans", "_pieces", "_sizes")).withColumn("_pieces", F.split("_marked", SEP, -1)).drop("_marked")
     cut = cut.withColumn("_sizes", F.transform("_pieces", lambda p: F.struct(F.length(p).alias("all"), (F.length(p) - F.length(F.regexp_replace(p, rf"^{_SPACES}+", ""))).alias("lead"), F.length(F.regexp_replace(p, rf"{_SPACES}+\z", "")).alias("body"))))
-    # Start of each piece: the sum of the sizes before it.
-    cut = cut.withColumn("_starts", F.transform("_sizes", lambda _, i: F.aggregate(F.slice("_sizes", 1, i), F.lit(0), lambda acc, x: acc + x["all"])))
-    spans = F.zip_with(
-        "_sizes",
-        "_starts",
-        lambda p, at: F.struct((at + p["lead"]).cast("int").alias("sent_start"), (at + p["body"]).cast("int").alias("sent_end")),
-    )
-    return cut.withColumn("spans", F.filter(spans, lambda x: x["sent_end"] > x["sent_start"])).drop("_pieces", "_sizes", "_starts")
+    # One pass over the pieces carries the place and the units found so far.
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<sent_start:int,sent_end:int>>").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        unit = F.struct((acc["at"] + p["lead"]).cast("int").alias("sent_start"), (acc["at"] + p["body"]).cast("int").alias("sent_end"))
+        return F.struct((acc["at"] + p["all"]).alias("at"), F.when(p["body"] > p["lead"], F.array_append(acc["out"], unit)).otherwise(acc["out"]).alias("out"))
+
+    return cut.withColumn("spans", F.aggregate("_sizes", start, step, lambda acc: acc["out"])).drop("_pieces", "_sizes")
 
 
 def sentence_units(segments: DataFrame) -> DataFrame:
@@ -160,6 +160,29 @@ def sentence_units(segments: DataFrame) -> DataFrame:
     )
 
 
+def article_lengths(segments: DataFrame) -> DataFrame:
+    """(article_id, n_sents, sent_len): the fields of the feature record from these units, one row an article.
+
+    ``sent_len`` is a struct of median, iqr (first and third quartile) and max of the units' lengths in characters.
+    Articles without a unit have n_sents 0 and a null sent_len; null ids and repeated rows take no part.
+    """
+    kept = segments.where("article_id is not null").select("article_id", "block_index", "kind", "text").distinct()
+    units = with_spans(kept).select("article_id", F.explode_outer("spans").alias("s"))
+    n = F.col("s.sent_end") - F.col("s.sent_start")
+    stats = units.groupBy("article_id").agg(F.count("s").alias("n_sents"), F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(n).alias("max"))
+    sent_len = F.struct(F.col("q")[1].alias("median"), F.array(F.col("q")[0], F.col("q")[2]).alias("iqr"), F.col("max").cast("int").alias("max"))
+    return stats.select("article_id", F.col("n_sents").cast("int").alias("n_sents"), F.when(F.col("n_sents") > 0, sent_len).alias("sent_len"))
+
+
+def p3_lengths(spark, folder: str) -> DataFrame:
+    """(article_id, n_sents, sent_len_median, sent_len_q1, sent_len_q3, sent_len_max) of articles with a features row."""
+    segments = runtime.table(spark, folder, "segments").join(runtime.table(spark, folder, "features").select("article_id"), "article_id", "left_semi")
+    s = F.col("sent_len")
+    return article_lengths(segments).select(
+        "article_id", "n_sents", s["median"].alias("sent_len_median"), s["iqr"][0].alias("sent_len_q1"), s["iqr"][1].alias("sent_len_q3"), s["max"].alias("sent_len_max")
+    )
+
+
 def p3_found(spark, folder: str) -> DataFrame:
     """(article_id, block_index, sent_start, sent_end): sentences of segments of articles with a features row.
 

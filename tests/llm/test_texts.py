@@ -117,6 +117,34 @@ def test_skeleton_groups(spark):
     assert confusables.with_kinds(df.withColumn("kinds", F.lit(1))).count() == 5
 
 
+def test_words_of_equal_skeleton_decide_doubtful_words(spark):
+    rows = [(1, "piece \u043ef it"), (2, "the best of all"), (3, "let \u03b1x be"), (4, None), (5, "r\u0430p\u0430l"), (6, "\u041c\u043e\u0441\u043a\u0432\u0430"), (1, "piece \u043ef it")]
+    got = confusables.found_kinds(spark.createDataFrame(rows, "k int, text string"), ["k"])
+    assert {tuple(r) for r in got.collect()} == {(1, "lookalike"), (5, "lookalike")}
+    assert confusables.found_kinds(spark.createDataFrame([], "k int, text string"), ["k"]).count() == 0
+
+
+def test_skeletons_of_letters_by_rule():
+    assert confusables.skeleton("\u1d00\u0253\ua4f0") == confusables.skeleton("abU") and len(confusables.VARIANTS) > 150
+    odd = "\u6f22\u30ab\u30ab\u6f22 a\u200b\u0301 \u529b" * 3
+    assert confusables.unify(confusables.unify(odd)) == confusables.unify(odd)
+
+
+def test_sentences_of_texts_that_hold_the_placeholders(spark):
+    text = "\ue000a 3.5 b\ue001. Next\ue0f0 one! \ue005"
+    plain = "".join("¤" if "\ue000" <= c <= "\ue0ff" else c for c in text)
+    df = spark.createDataFrame([(text, "paragraph"), (plain, "paragraph"), (None, "list"), (" ", "list")], "text string, kind string")
+    a, b, c, d = (r["spans"] for r in sentences.with_spans(df).collect())
+    assert a == b and [text[s["sent_start"] : s["sent_end"]] for s in a][0] == "\ue000a 3.5 b\ue001." and c is None and d == []
+
+
+def test_lengths_from_sentence_units(spark):
+    rows = [("a", 0, "paragraph", "It cost 3.5 Euro. Fine."), ("a", 1, "list", "x y\nz"), ("a", 1, "list", "x y\nz"), ("b", 0, "paragraph", " "), ("c", 0, "paragraph", None), (None, 0, "list", "q")]
+    got = {r["article_id"]: r for r in sentences.article_lengths(spark.createDataFrame(rows, "article_id string, block_index int, kind string, text string")).collect()}
+    assert got["a"]["n_sents"] == 4 and got["a"]["sent_len"]["max"] == 17 and got["a"]["sent_len"]["median"] == 4.0
+    assert got["b"]["n_sents"] == 0 == got["c"]["n_sents"] and got["b"]["sent_len"] is None and set(got) == {"a", "b", "c"}
+
+
 def test_site_of(spark):
     urls = ["HTTPS://Www.A.example:443/x?y#z", "http://u@b.test", "c.test/path", "", None, "  ", "//d.test/"]
     df = spark.createDataFrame([(u,) for u in urls], "u string").select(site_lines.site_of(F.col("u")).alias("s"))
