@@ -40,8 +40,16 @@ def test_markup_families(text, families):
 
 
 def test_markup_keeps_structure():
-    assert markup.convert("<h2>T</h2><ul><li>a</li><li>b</li></ul><pre>x &lt; y</pre>")[0].split() == ["#", "T", "-", "a", "-", "b", "x", "<", "y"]
-    assert markup.convert("\\section{T}\nE is $E_{0}$.")[0] == "# T\n\nE is E_{0}."
+    assert markup.convert("<h2>T</h2><ul><li>a</li><li>b</li></ul><pre>x &lt; y</pre>")[0].split() == ["#", "T", "-", "a", "-", "b", "```", "x", "<", "y", "```"]
+    assert markup.convert("\\section{T}\nE is $E_{0}$.")[0] == "# T\n\nE is $E_{0}$."
+    code = "```py\nprint(r'\\alpha {{x}} <b>')\n```"
+    assert markup.convert(f"*a*\n{code}\n[[b|c]]")[0] == f"a\n{code}\nc"
+    assert markup.convert("`{{x}}` {{cite|kept|k=v}} <code>a &amp; b</code>")[0] == "`{{x}}` kept `a & b`"
+    assert markup.convert("\\begin{equation}\nx^2\n\\end{equation} and \\(y\\)")[0] == "$$x^2$$ and $y$"
+    assert markup.convert("a < b, c --> d, <b")[1] == ["html"] and markup.convert("1 < 2 & x<y>z")[1] == []
+    blocks = [{"block_index": 0, "type": "body", "text": "<a>x</a><a>y</a><a>z</a><a>w</a>"}, {"block_index": 1, "type": "code", "text": "<b>*kept*</b>"}, {"block_index": 2, "type": "body", "text": "*A long line of text that is content of the page.*\n" * 8}]
+    first, second, third = markup.clean_article(blocks)
+    assert first == (0, "", []) and second == (1, "<b>*kept*</b>", []) and third[1].startswith("A long line") and third[2] == ["markdown"]
     assert markup.convert("plain  text\n\n\n\nkept")[0] == "plain  text\n\n\n\nkept"
 
 
@@ -125,7 +133,7 @@ def test_words_of_equal_skeleton_decide_doubtful_words(spark):
 
 
 def test_skeletons_of_letters_by_rule():
-    assert confusables.skeleton("\u1d00\u0253\ua4f0") == confusables.skeleton("abU") and len(confusables.VARIANTS) > 150
+    assert confusables.skeleton("\u1d00\u0253\ua4f4") == confusables.skeleton("abU") and len(confusables.VARIANTS) > 150
     odd = "\u6f22\u30ab\u30ab\u6f22 a\u200b\u0301 \u529b" * 3
     assert confusables.unify(confusables.unify(odd)) == confusables.unify(odd)
 
