@@ -263,7 +263,7 @@ def overlapping_records(records: DataFrame, n: int, above: float) -> DataFrame:
     once, exactly.
     """
     t = Fraction(str(above))
-    rows = chunk_rows(records, _counts(records))
+    rows = runtime.materialize(chunk_rows(records, _counts(records)), "chunks")  # read by both sides of the join
     train = rows.where("in_train").select("digest", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "length", F.col("id").alias("a"), F.col("total").alias("total_a"))
     other = rows.where("in_eval").select("digest", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("total").alias("total_b"))
     fractions = (
@@ -301,6 +301,18 @@ def overlapping_records(records: DataFrame, n: int, above: float) -> DataFrame:
     )
 
 
+def split_records(bodies: DataFrame, sides: DataFrame) -> DataFrame:
+    """(id, body, in_train, in_eval): one row of bodies(id, row, article_id, body) for each text, on the sides of all its articles.
+
+    What is shuffled is ids and row numbers, not texts; the rows to keep are broadcast where they are few
+    (counted: at most SENT_IDS), and joined otherwise. Texts of articles without a side are left out.
+    """
+    first = bodies.select("article_id", "id", "row").join(sides, "article_id").groupBy("id").agg(F.min("row").alias("row"), F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval"))
+    first = runtime.materialize(first.drop("id"), "first")
+    few = first.count() <= SENT_IDS
+    return bodies.select("id", "row", "body").join(F.broadcast(first) if few else first, "row").select("id", "body", "in_train", "in_eval")
+
+
 def split_overlaps(clean: DataFrame, splits: DataFrame, n: int = 8, above: float = 0.3, min_chars: int = 20) -> DataFrame:
     """(article_a, article_b, eval_split): overlaps of train with dev and holdout, smaller id first.
 
@@ -308,14 +320,10 @@ def split_overlaps(clean: DataFrame, splits: DataFrame, n: int = 8, above: float
     without a split, unknown splits, null ids and short bodies take no part otherwise; repeated rows count once.
     """
     parts = splits.where("article_id is not null and split in ('train', 'dev', 'holdout')").select("article_id", "split").distinct()
-    bodies = squeezed_bodies(clean).where(F.length("body") >= min_chars).withColumn("id", F.xxhash64("body"))
     sides = parts.groupBy("article_id").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval"))
-    records = runtime.materialize(
-        bodies.join(sides, "article_id")
-        .groupBy("id")
-        .agg(F.first("body").alias("body"), F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval")),
-        "records",
-    )
+    kept = squeezed_bodies(clean).where(F.length("body") >= min_chars)
+    bodies = runtime.materialize(runtime.spread(kept.select("article_id", "body", F.xxhash64("body").alias("id"), F.monotonically_increasing_id().alias("row"))), "bodies")
+    records = split_records(bodies, sides)
     links = overlapping_records(records.select("id", "body", "in_train", "in_eval"), n, above)
     # Equal texts are one record: it overlaps itself if it lies on both sides.
     same = records.where("in_train and in_eval").select(F.col("id").alias("a"), F.col("id").alias("b"))

