@@ -37,53 +37,32 @@ def tokenized(sentences: DataFrame, keys: list[str], analyzer: Callable[[str], l
     return slim.mapInArrow(run, schema).select(*keys, F.posexplode("t").alias("tok_idx", "t")).select(*keys, "tok_idx", "t.*")
 
 
-def content(tokens: DataFrame) -> DataFrame:
-    return tokens.where(F.col("pos").isNull() | ~F.col("pos").isin(*SKIPPED))
-
-
-def masked_lemma(base: Column, pos: Column) -> Column:
-    """The lemma of function words and closed classes, the part of speech of others."""
-    return F.when(pos.isin(*CLOSED) | pos.isNull(), base).otherwise(pos)
-
-
-def adjacent(tokens: DataFrame, sentence: list[str], key: Column, n: int, sep: str = "|") -> DataFrame:
-    """sentence, gram: n keys that follow each other within a sentence."""
-    w = Window.partitionBy(*sentence).orderBy("tok_idx")
-    t = tokens.withColumn("_k", key)
-    parts = [F.lead("_k", i).over(w) for i in range(n)]
-    grams = t.select(*sentence, *(p.alias(f"_{i}") for i, p in enumerate(parts))).dropna(subset=[f"_{n - 1}"])
-    return grams.select(*sentence, F.concat_ws(sep, *(f"_{i}" for i in range(n))).alias("gram"))
-
-
-def suffixes(tokens: DataFrame, sentence: list[str], n: int) -> DataFrame:
-    """sentence, suffix: masked lemmas of the last n content tokens of sentences that have as many."""
-    w = Window.partitionBy(*sentence).orderBy(F.desc("tok_idx"))
-    last = content(tokens).withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
-    per = last.groupBy(*sentence).agg(F.sort_array(F.collect_list(F.struct("tok_idx", masked_lemma(F.col("base"), F.col("pos")).alias("k")))).alias("_last"))
-    return per.where(F.size("_last") == n).select(*sentence, F.array_join(F.transform("_last", lambda x: x["k"]), "|").alias("suffix"))
-
-
-def before_commas(tokens: DataFrame, sentence: list[str]) -> DataFrame:
-    """sentence, pos, base of the last token that is not skipped before each comma."""
-    w = Window.partitionBy(*sentence).orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, -1)
-    kept = F.when(F.col("pos").isNull() | ~F.col("pos").isin(*SKIPPED), F.struct("pos", "base"))
-    return tokens.withColumn("before", F.last(kept, ignorenulls=True).over(w)).where(F.col("surface").isin("、", "，") & F.col("before").isNotNull()).select(*sentence, "before.*")
-
-
-def rates(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """Shares of function words, formal nouns and first persons among content tokens; null without any."""
-    c = content(tokens)
-    return c.groupBy(*keys).agg(
-        F.avg(F.col("pos").isin(*FUNCTION).cast("int")).alias("func_word_rate"),
-        F.avg((F.col("base").isin(*FORMAL_NOUNS) & (F.col("pos") == "名詞")).cast("int")).alias("formal_noun_rate"),
-        F.avg(F.col("base").isin(*FIRST_PERSON).cast("int")).alias("first_person_rate"),
-        (F.count_distinct("surface") / F.count("*")).alias("ttr"),
-    )
-
-
-def channel_counts(tokens: DataFrame, article: list[str]) -> DataFrame:
-    """article, channel, key, n: counts of sentence-final suffixes and bigrams of masked lemmas."""
-    sentence = [c for c in tokens.columns if c not in ("tok_idx", "surface", "pos", "base", "start", "end")]
-    pairs = adjacent(content(tokens), sentence, masked_lemma(F.col("base"), F.col("pos")), 2).select(*article, F.lit("content_masked_lemma_bigram").alias("channel"), F.col("gram").alias("key"))
-    ends = suffixes(tokens, sentence, 2).select(*article, F.lit("final_suffix2").alias("channel"), F.col("suffix").alias("key"))
-    return pairs.unionByName(ends).groupBy(*article, "channel", "key").agg(F.count("*").alias("n"))
+#: A sentence's tokens by rule: closed lists first, then runs of script.
+RULE_TOKEN = (
+    "[一-鿿㐀-䶿々]+|しかし|そして|また|こと|もの|ため|わけ|はず|この|その|あの|これ|それ|ました|でした|ません|です|ます|ない|から|まで|だ|た|[はがをにでともへやの]|[ぁ-ゟ]|[ァ-ヿ]+|[A-Za-z]+|[0-9]+|[、，]|[。！？!?]"
+)
+#: Part of speech, detail and words of the closed lists of the rules; other kana are verbs, other runs nouns.
+RULE_WORDS = [
+    ("接続詞", "*", "しかし そして また"),
+    ("名詞", "普通名詞", "こと もの ため わけ はず"),
+    ("連体詞", "*", "この その あの"),
+    ("代名詞", "*", "これ それ 私 僕 俺 自分"),
+    ("助動詞", "*", "ました でした ません です ます ない だ た"),
+    ("助詞", "格助詞", "から まで は が を に で と も へ や の"),
+    ("補助記号", "読点", "、 ，"),
+    ("補助記号", "句点", "。 ！ ？ ! ?"),
+]
+
+
+def rule_tokens(sentences: DataFrame, keys: list[str], placeholder: str = "識別子") -> DataFrame:
+    """keys, sent_idx, para, tok_idx, surface, pos, pos_detail, base, cform, masked of sentences(keys, sent_idx, para, sentence).
+
+    A stand-in for a tagger, all built-ins: tokens by closed lists and runs of script. It makes every channel
+    computable where no tagger is installed; its parts of speech are no linguistic analysis.
+    """
+    t = sentences.select(*keys, "sent_idx", "para", F.posexplode(F.regexp_extract_all("sentence", F.lit(RULE_TOKEN), F.lit(0))).alias("tok_idx", "surface"))
+    pos, detail = F.when(F.col("surface").rlike("^[ぁ-ゟ]$"), "動詞").otherwise("名詞"), F.lit("普通名詞")
+    for name, kind, words in reversed(RULE_WORDS):
+        known = F.col("surface").isin(*words.split())
+        pos, detail = F.when(known, name).otherwise(pos), F.when(known, kind).otherwise(detail)
+    return t.select("*", pos.alias("pos"), detail.alias("pos_detail"), F.col("surface").alias("base"), F.lit("*").alias("cform"), (F.col("surface") == placeholder).alias("masked"))

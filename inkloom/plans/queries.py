@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import runtime
 from ..functions import stats as S
 from ..functions import text as T
-from ..operators import blocks, corpus, distributions, evaluation, features, ngrams, overlap, stats, tokens
+from ..operators import blocks, corpus, distributions, evaluation, features, ngrams, overlap, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -735,8 +735,4 @@ def prose_segments(spark, folder):
     return s.select("article_id", "s.*").distinct()
 
 
-@query()
-def token_channels(spark, folder):
-    s = features.sentence_rows(_documents(spark, folder), ["doc_id"])
-    s = s.withColumnRenamed("pos", "sent_idx")
-    return tokens.channel_counts(tokens.tokenized(s, ["doc_id", "sent_idx"]), ["doc_id"])
+from . import channel_queries  # noqa: E402, F401
