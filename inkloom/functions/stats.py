@@ -1,4 +1,4 @@
-"""Statistical expressions over arrays and aggregates."""
+"""Statistical expressions: order statistics by their place among n sorted values, bounds, statuses."""
 
 from __future__ import annotations
 
@@ -13,25 +13,36 @@ FAIL_CAPABLE_CHECKS = 29
 ALPHA = ARTICLE_ALPHA / FAIL_CAPABLE_CHECKS
 
 
-def quantile_outward(values: Column, q: float, upper: bool) -> Column:
-    """Order statistic of a sorted array, rounded away from its middle."""
-    at = F.lit(q) * (F.size(values) - 1)
-    index = F.ceil(at - 1e-12) if upper else F.floor(at + 1e-12)
-    return F.element_at(values, (F.greatest(F.lit(0), F.least(index, F.size(values) - 1)) + 1).cast("int"))
+def outward_index(n: Column, q: float, upper: bool) -> Column:
+    """Place (from 0) of the order statistic at q, rounded away from the middle."""
+    at = F.lit(q) * (n - 1)
+    return F.greatest(F.lit(0), F.least(F.ceil(at - 1e-12) if upper else F.floor(at + 1e-12), n - 1))
 
 
-def hard_bound(values: Column, upper: bool, two_sided: bool = False) -> Column:
-    """Extreme of a sorted array below LARGE_N values, from there on an outward quantile."""
+def bound_index(n: Column, upper: bool, two_sided: bool = False) -> Column:
+    """Place of the hard bound: the extreme below LARGE_N values, from there on an outward quantile."""
     alpha = ALPHA / 2 if two_sided else ALPHA
-    extreme = F.array_max(values) if upper else F.array_min(values)
-    return F.when(F.size(values) < LARGE_N, extreme).otherwise(quantile_outward(values, 1 - alpha if upper else alpha, upper))
-
-
-def hard_range(values: Column, q1: Column, q3: Column) -> tuple[Column, Column]:
-    """Two-sided range: extreme bounds widened to Tukey's fences, cut at 0 for values that are never negative."""
-    lo = F.least(hard_bound(values, False, True), q1 - TUKEY_K * (q3 - q1))
-    hi = F.greatest(hard_bound(values, True, True), q3 + TUKEY_K * (q3 - q1))
-    return F.when(F.array_min(values) >= 0, F.greatest(lo, F.lit(0.0))).otherwise(lo), hi
+    return F.when(n < LARGE_N, n - 1 if upper else F.lit(0)).otherwise(outward_index(n, 1 - alpha if upper else alpha, upper))
+
+
+def hard_range(least: Column, lower: Column, upper: Column, q1: Column, q3: Column) -> tuple[Column, Column, Column]:
+    """(lo, hi, sided) of the two-sided range: extreme bounds widened to Tukey's fences, cut at 0 for values never negative."""
+    lo = F.least(lower, q1 - TUKEY_K * (q3 - q1))
+    lo = F.when(least >= 0, F.greatest(lo, F.lit(0.0))).otherwise(lo)
+    sided = F.when((lo <= 0) & (least >= 0), "upper_only").otherwise("two_sided")
+    return lo, F.greatest(upper, q3 + TUKEY_K * (q3 - q1)), sided
+
+
+def band_notes(warn_lo: Column, warn_hi: Column, hard_lo: Column, hard_hi: Column, sided: Column) -> Column:
+    """Array of what makes a band degenerate; without a warn band only that it is missing."""
+    notes = F.array_compact(
+        F.array(
+            F.when(warn_hi - warn_lo <= 0, "warn_band_zero_width"),
+            F.when(sided == "upper_only", "lower_bound_degenerate_zero(one_sided_upper)"),
+            F.when(hard_hi - hard_lo <= 0, "hard_band_zero_width"),
+        )
+    )
+    return F.when(warn_lo.isNull() | warn_hi.isNull(), F.array(F.lit("warn_band_missing"))).otherwise(notes)
 
 
 def max_exceed_count(n: int, alpha: float) -> int:

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from . import stats
 
 OTHER = "OTHER"
+# Limits of notes on a channel.
+OUTLIER_RATIO, OTHER_MOST, NEAR_MARGIN = 2.0, 0.5, 5
 
 
 def long_form(records: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -64,30 +67,30 @@ def loao_distances(rows: DataFrame, group: list[str], article: list[str]) -> Dat
 
 def calibrate(distances: DataFrame, group: list[str]) -> DataFrame:
     """Thresholds of a distribution channel by leave-one-out distances; fewer than MIN_N articles are skipped."""
-    per = distances.groupBy(*group).agg(F.count("*").alias("n"), F.percentile("distance", 0.5).alias("p50"), F.percentile("distance", 0.9).alias("p90"), F.sort_array(F.collect_list("distance")).alias("d"))
     built = F.col("n") >= S.MIN_N
-    return per.select(
-        *group,
-        "n",
-        F.when(built, "built").otherwise("skipped").alias("status"),
-        F.when(built, F.col("p50")).alias("p50"),
-        F.when(built, F.col("p90")).alias("warn"),
-        F.when(built, F.greatest(S.hard_bound(F.col("d"), True), F.col("p90"))).alias("fail"),
+    return stats.bounds(distances, group, "distance").select(
+        *group, "n", F.when(built, "built").otherwise("skipped").alias("status"), F.when(built, F.col("p50")).alias("p50"), F.when(built, F.col("p90")).alias("warn"),
+        F.when(built, F.greatest("upper", "p90")).alias("fail"),
+    )
+
+
+def channel_notes(n: Column, p50: Column, fail: Column, other: Column, keys: Column, top_k: Column) -> Column:
+    """Array of what makes a distribution channel doubtful: outliers set its limit, keys too few or too many, few articles."""
+    return F.array_compact(
+        F.array(
+            F.when((p50 > 0) & (fail / p50 > OUTLIER_RATIO), "fail_threshold_outlier_dominated"),
+            F.when(other > OTHER_MOST, "top_k_too_small"),
+            F.when(keys < top_k, "top_k_vacuous"),
+            F.when(n < S.MIN_N + NEAR_MARGIN, "near_min_calibration_n"),
+        )
     )
 
 
 def calibrate_scalar(values: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Warn band p10 to p90 and hard range of scalars; null values take no part, fewer than MIN_N are skipped."""
-    v = F.col(value)
-    per = values.where(v.isNotNull()).groupBy(*group).agg(
-        F.count("*").alias("n"), F.percentile(v, F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("q"), F.sort_array(F.collect_list(v.cast("double"))).alias("v")
-    )
-    lo, hi = S.hard_range(F.col("v"), F.col("q")[1], F.col("q")[3])
+    """Quantiles, warn band p10 to p90 and hard range of scalars; null values take no part, fewer than MIN_N are skipped."""
     built = F.col("n") >= S.MIN_N
-    return per.select(
-        *group, "n", F.when(built, "built").otherwise("skipped").alias("status"), F.when(built, F.col("q")[0]).alias("warn_lo"), F.when(built, F.col("q")[4]).alias("warn_hi"),
-        F.when(built, F.col("q")[2]).alias("median"), F.when(built, lo).alias("fail_lo"), F.when(built, hi).alias("fail_hi"),
-    )
+    known = {"warn_lo": "p10", "warn_hi": "p90", "median": "p50", "fail_lo": "hard_lo", "fail_hi": "hard_hi", **{f"q{k}": f"p{k}" for k in ("01", "05", "25", "75", "95", "99")}, "sided": "sided"}
+    return stats.bounds(values, group, value).select(*group, "n", F.when(built, "built").otherwise("skipped").alias("status"), *(F.when(built, F.col(c)).alias(k) for k, c in known.items()))
 
 
 def shrunk(local: DataFrame, whole: DataFrame, group: list[str], slice_: str, pseudo: int = 10) -> DataFrame:
@@ -98,3 +101,14 @@ def shrunk(local: DataFrame, whole: DataFrame, group: list[str], slice_: str, ps
     j = grid.join(local.select(*keys, "key", F.col("mean").alias("local")), [*keys, "key"], "left")
     mean = (F.coalesce("local", F.lit(0.0)) * F.col("k") + F.col("whole") * pseudo) / (F.col("k") + pseudo)
     return j.select(*keys, "key", "k", F.round(mean, 6).alias("mean"))
+
+
+def feature_distance(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """a, b, divergence of pairs(a, b) by rows(article_id, key, p): squared distance of two distributions; null if one is missing."""
+    x, y = rows.select(F.col("article_id").alias("a"), "key", F.col("p").alias("_p")), rows.select(F.col("article_id").alias("b"), "key", F.col("p").alias("_q"))
+    # Keys of either side, absent shares being zero.
+    keys = pairs.join(x.select("a", "key"), "a").unionByName(pairs.join(y.select("b", "key"), "b").select("a", "b", "key")).distinct()
+    both = keys.join(x, ["a", "key"], "left").join(y, ["b", "key"], "left")
+    terms = both.groupBy("a", "b").agg(F.sum(js_term(F.coalesce("_p", F.lit(0.0)), F.coalesce("_q", F.lit(0.0)))).alias("_d"), F.count("_p").alias("_n"), F.count("_q").alias("_m"))
+    d = F.when((F.col("_n") > 0) & (F.col("_m") > 0), F.greatest(F.col("_d"), F.lit(0.0)))
+    return pairs.join(terms, ["a", "b"], "left").select("a", "b", d.alias("divergence"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions import text as T
+from . import stats
 from .distributions import js_distance, js_term
 
 
@@ -19,22 +20,20 @@ def metric_rows(records: DataFrame, keys: list[str], metrics: Sequence[str]) ->
 
 
 def slices(records: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, slice: the register and length slices of each article."""
+    """keys, slice: the register and length slices of each article, and its era where records have published_at."""
     register = T.register_of(*(F.col(c) for c in ("desu_masu", "da_dearu", "jotai_verb", "jotai_adj")))
     both = F.array(F.concat(F.lit("register:"), register), F.concat(F.lit("length:"), T.length_stratum_of(F.col("n_chars"))))
+    if "published_at" in records.columns:
+        both = F.array_compact(F.array_append(both, F.concat(F.lit("era:"), T.era_of(F.col("published_at")))))
     return records.select(*keys, F.explode(both).alias("slice")).distinct()
 
 
 def warn_ranges(records: DataFrame, group: list[str], metric: str, floor: float, ratio: bool = False) -> DataFrame:
     """Warn band, median and the greater of IQR and ``floor`` around it, and hard range; ratios end at 1."""
-    v = F.col(metric).cast("double")
-    per = records.where(v.isNotNull()).groupBy(*group).agg(
-        F.sort_array(F.collect_list(v)).alias("v"), F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.5).alias("q2"), F.percentile(v, 0.75).alias("q3")
-    )
-    half = F.greatest(F.col("q3") - F.col("q1"), F.lit(floor))
-    lo, hi = S.hard_range(F.col("v"), F.col("q1"), F.col("q3"))
+    half = F.greatest(F.col("p75") - F.col("p25"), F.lit(floor))
     top = lambda c: F.least(c, F.lit(1.0)) if ratio else c
-    return per.select(*group, F.greatest(F.col("q2") - half, F.lit(0.0)).alias("warn_lo"), top(F.col("q2") + half).alias("warn_hi"), lo.alias("hard_lo"), top(hi).alias("hard_hi"))
+    per = stats.bounds(records, group, metric)
+    return per.select(*group, F.greatest(F.col("p50") - half, F.lit(0.0)).alias("warn_lo"), top(F.col("p50") + half).alias("warn_hi"), F.col("hard_lo"), top(F.col("hard_hi")).alias("hard_hi"))
 
 
 def range_gate(records: DataFrame, ranges: DataFrame, group: list[str], metric: str) -> DataFrame:
@@ -94,9 +93,10 @@ def feedback_deltas(pairs: DataFrame, records: DataFrame, metrics: Sequence[str]
 
 def feedback_report(deltas: DataFrame, least: int = 3, agreement: float = 0.7) -> DataFrame:
     """metric, n, median_delta (upper median), agreement of metrics that moved often enough in one direction."""
-    per = deltas.where("abs(delta) > 1e-6").groupBy("metric").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("delta")).alias("v"), F.count_if(F.col("delta") > 0).alias("up"))
+    moved = stats.ranked(deltas.where("abs(delta) > 1e-6"), ["metric"], "delta")
+    per = moved.groupBy("metric").agg(F.max("n").alias("n"), stats.at(F.floor(F.col("n") / 2)).alias("median_delta"), F.count_if(F.col("delta") > 0).alias("up"))
     share = F.greatest("up", F.col("n") - F.col("up")) / F.col("n")
-    return per.where((F.col("n") >= least) & (share >= agreement)).select("metric", "n", F.element_at("v", (F.floor(F.col("n") / 2) + 1).cast("int")).alias("median_delta"), share.alias("agreement"))
+    return per.where((F.col("n") >= least) & (share >= agreement)).select("metric", "n", "median_delta", share.alias("agreement"))
 
 
 def regression(results: DataFrame, expected: DataFrame) -> DataFrame:

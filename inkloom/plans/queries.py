@@ -14,6 +14,7 @@ from .. import runtime
 from ..functions import stats as S
 from ..functions import text as T
 from ..operators import blocks, corpus, distributions, evaluation, features, ngrams, overlap, stats
+from ..sources import corpus as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -219,15 +220,22 @@ def exact_dup_clusters(spark, folder):
     return d.join(groups, "h").select("doc_id", "cluster")
 
 
-@query("WITH docs AS (" + _DOCS + ") " + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind FROM docs WHERE regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')" for k, p in T.SECRETS.items()))
+#: Texts that hold one secret of each kind, scanned beside the documents, which hold none; negative ids.
+_SAMPLES = ["AKIA" + "ABCD1234" * 2, "sk-" + "a1B2" * 6, "ghp_" + "Zz09" * 6, "xoxb-" + "1234567890", "-----BEGIN RSA PRIVATE KEY-----", "API_KEY = '" + "k3y-" * 5 + "'", "password: none", "sk-short"]
+_SCANNED = f"{_DOCS} UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in enumerate(_SAMPLES, 1)) + ") v(doc_id, text)"
+
+
+@query("WITH docs AS (" + _SCANNED + ") " + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind FROM docs WHERE regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')" for k, p in T.SECRETS.items()))
 def secret_scan(spark, folder):
+    scanned = _documents(spark, folder).unionByName(spark.createDataFrame([(-i, t) for i, t in enumerate(_SAMPLES, 1)], "doc_id bigint, text string"))
     kinds = F.array_compact(F.array(*(F.when(F.col("text").rlike(p), k) for k, p in T.SECRETS.items())))
-    return _documents(spark, folder).select("doc_id", F.explode(kinds).alias("kind"))
+    return scanned.select("doc_id", F.explode(kinds).alias("kind"))
 
 
-@query(f"SELECT doc_id, UNNEST(regexp_extract_all(text, '{T.PLACEHOLDER_RESIDUE}')) AS residue FROM ({_DOCS})")
+@query(f"SELECT DISTINCT article_id, block_index, residue FROM (SELECT article_id, block_index, UNNEST(regexp_extract_all(text, '{T.PLACEHOLDER_RESIDUE}')) AS residue FROM segments WHERE text IS NOT NULL)")
 def placeholder_residue(spark, folder):
-    return _documents(spark, folder).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(T.PLACEHOLDER_RESIDUE), F.lit(0))).alias("residue"))
+    s = runtime.table(spark, folder, "segments").where("text is not null")
+    return s.select("article_id", "block_index", F.explode(F.regexp_extract_all("text", F.lit(T.PLACEHOLDER_RESIDUE), F.lit(0))).alias("residue")).distinct()
 
 
 @query(f"SELECT doc_id, length(regexp_replace(regexp_replace(text, '{T.URL}', ' ', 'g'), '{_S}+', '', 'g')) AS effective_length FROM ({_DOCS})")
@@ -303,11 +311,21 @@ def profile_articles(spark, folder):
     return corpus.profile_articles(runtime.table(spark, folder, "manifest"), runtime.table(spark, folder, "splits")).select("article_id").distinct()
 
 
-@query("SELECT article_id, min(retrieval_timestamp) AS first_seen, arg_max(license, retrieval_timestamp) AS license FROM (SELECT DISTINCT article_id, retrieval_timestamp, license FROM manifest) GROUP BY article_id")
+_COLS = "article_id, author_id, canonical_url, retrieval_timestamp, license, status"
+
+
+@query(
+    f"""WITH m AS (SELECT DISTINCT {_COLS} FROM manifest WHERE article_id IS NOT NULL AND retrieval_timestamp IS NOT NULL), o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY retrieval_timestamp, status, canonical_url, license) = 1),
+  n AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY retrieval_timestamp DESC, status, canonical_url, license) = 1)
+  SELECT n.article_id, n.author_id, n.canonical_url, least(o.retrieval_timestamp, n.retrieval_timestamp) AS retrieval_timestamp, n.license, n.status FROM n JOIN o USING (article_id)"""
+)
 def manifest_upsert(spark, folder):
-    m = runtime.table(spark, folder, "manifest").select("article_id", "retrieval_timestamp", "license").distinct()
-    # The value of the latest intake that has one; ids keep the first timestamp.
-    return m.groupBy("article_id").agg(F.min("retrieval_timestamp").alias("first_seen"), F.max_by("license", F.when(F.col("license").isNotNull(), F.col("retrieval_timestamp"))).alias("license"))
+    # The first intake of each article is the stored manifest, the last one what comes in.
+    from pyspark.sql import Window
+
+    m = runtime.table(spark, folder, "manifest").select(*_COLS.split(", ")).where("article_id is not null and retrieval_timestamp is not null").distinct()
+    pick = lambda order: m.withColumn("r", F.row_number().over(Window.partitionBy("article_id").orderBy(order, F.asc_nulls_last("status"), F.asc_nulls_last("canonical_url"), F.asc_nulls_last("license")))).where("r = 1").drop("r")
+    return sources.merge_manifest(pick(F.col("retrieval_timestamp")), pick(F.desc("retrieval_timestamp")))
 
 
 _FIRST = "SELECT article_id, min(author_id) AS author_id, min(coalesce(published_at, left(retrieval_timestamp, 10))) AS day FROM manifest WHERE status = 'eligible' GROUP BY article_id"
@@ -604,7 +622,8 @@ def dist_calibration(spark, folder):
   CASE WHEN len(v) >= 10 THEN round(p90, 6) END AS warn_hi, CASE WHEN len(v) >= 10 THEN round(q2, 6) END AS median, CASE WHEN len(v) >= 10 THEN round({_RANGE_LO}, 6) END AS fail_lo, CASE WHEN len(v) >= 10 THEN round({_RANGE_HI}, 6) END AS fail_hi FROM s"""
 )
 def scalar_calibration(spark, folder):
-    return _r(distributions.calibrate_scalar(_records(spark, folder), ["author_id"], "sent_len_median"))
+    c = distributions.calibrate_scalar(_records(spark, folder), ["author_id"], "sent_len_median")
+    return _r(c.select("author_id", "n", "status", "warn_lo", "warn_hi", "median", "fail_lo", "fail_hi"))
 
 
 _SLICE = (
@@ -735,4 +754,4 @@ def prose_segments(spark, folder):
     return s.select("article_id", "s.*").distinct()
 
 
-from . import channel_queries  # noqa: E402, F401
+from . import channel_queries, decision_queries  # noqa: E402, F401
