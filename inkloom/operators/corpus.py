@@ -12,6 +12,7 @@ from ..functions import text as T
 # Domains of the manifest, and what code-like lines and residual fences look like.
 STATUSES = ("eligible", "quarantined", "excluded")
 SPLITS = ("train", "dev", "holdout")
+BLOCK_TYPES = ("body", "quote", "code", "boilerplate", "editorial")
 WORD = "[\\p{L}\\p{N}_]"
 CODE_LINE = (
     f"^{T.SPACE}*(?:[$>]{T.SPACE}+|(?:const|let|var|function|class|def|fn|pub|use|import|package|SELECT|INSERT|UPDATE)(?:[^\\p{{L}}\\p{{N}}_]|$)"
@@ -90,6 +91,17 @@ def invalid_rows(rows: DataFrame, key: str, required: list[str], domains: dict[s
     return rows.select(key, F.explode(F.array_compact(F.array(*checks))).alias("problem")).distinct()
 
 
+def invalid_blocks(clean: DataFrame, key: str) -> DataFrame:
+    """key, problem: articles without blocks, and blocks with an unknown type, no text or spans that don't fit."""
+    rows = clean.select(key, F.when(F.col("blocks").isNull(), "missing:blocks").alias("problem")).where("problem is not null")
+    b = clean.select(key, F.explode("blocks").alias("b"))
+    checks = F.array(
+        F.when(F.col("b.type").isNull() | ~F.col("b.type").isin(*BLOCK_TYPES), "domain:type"), F.when(F.col("b.text").isNull(), "missing:text"),
+        F.when(F.col("b.char_start").isNull() | F.col("b.char_end").isNull() | (F.col("b.char_end") < F.col("b.char_start")), "span"),
+    )
+    return rows.unionByName(b.select(key, F.explode(F.array_compact(checks)).alias("problem"))).distinct()
+
+
 def markers_dense(texts: DataFrame, key: str, marker: str, window: int = 1000, cap: int = 2) -> DataFrame:
     """key, n_marks, status: fail if more than ``cap`` marker starts lie within less than ``window`` characters."""
     parts = texts.select(key, F.split(F.coalesce("text", F.lit("")), marker, -1).alias("p"))

@@ -13,11 +13,6 @@ OTHER = "OTHER"
 OUTLIER_RATIO, OTHER_MOST, NEAR_MARGIN = 2.0, 0.5, 5
 
 
-def long_form(records: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """keys, key, p from a map column; null maps give no rows."""
-    return records.select(*keys, F.explode(column).alias("key", "p"))
-
-
 def centroid(rows: DataFrame, group: list[str], article: str) -> DataFrame:
     """group, key, mean, n: mean share over the group's articles, absent keys being zero."""
     n = rows.groupBy(*group).agg(F.count_distinct(article).alias("n"))

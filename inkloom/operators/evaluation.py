@@ -41,11 +41,6 @@ def range_gate(records: DataFrame, ranges: DataFrame, group: list[str], metric:
     return records.join(ranges, group).withColumn("status", S.range_status(F.col(metric), *(F.col(c) for c in ("warn_lo", "warn_hi", "hard_lo", "hard_hi"))))
 
 
-def degraded(status, n_sents, n_chars, least_sents: int = 10, least_chars: int = 300):
-    """fail becomes warn for texts too short to fail."""
-    return F.when((status == "fail") & ((n_sents < least_sents) | (n_chars < least_chars)), "warn").otherwise(status)
-
-
 def gate_summary(rows: DataFrame, group: list[str]) -> DataFrame:
     """Counts by status and the worst one."""
     count = lambda x: F.count_if(F.col("status") == x)

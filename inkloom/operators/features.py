@@ -27,6 +27,12 @@ def built_sentences(segments: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def article_counts(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_sents, n_chars of segments(keys, text, n_masked_chars): line ends and masked characters don't count."""
+    n = F.length(F.replace("text", F.lit("\n"), F.lit(""))) - F.coalesce("n_masked_chars", F.lit(0))
+    return segments.groupBy(*keys).agg(F.sum(F.size(T.sentences(F.col("text"))).cast("bigint")).alias("n_sents"), F.sum(n).cast("bigint").alias("n_chars"))
+
+
 def sentence_lengths(sentences: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n_sents, median, quartiles and maximum of sentence lengths."""
     n = F.length("sentence")

@@ -23,9 +23,22 @@ def findings(files: DataFrame) -> DataFrame:
     return residue.unionByName(secrets).unionByName(dead).unionByName(budget).distinct()
 
 
+#: Most rules that are broadcast.
+SENT_RULES = 100_000
+
+
 def routed(claims: DataFrame, rules: DataFrame) -> DataFrame:
-    """claims with destination by rules(status, target, destination); without a rule the claim is unmapped."""
-    return claims.join(F.broadcast(rules), ["status", "target"], "left").withColumn("destination", F.coalesce("destination", F.lit("unmapped")))
+    """claims(id, status, target, metric, condition) with destination by rules(status, target, metric, condition, destination, priority).
+
+    A null in a rule fits anything; of the rules that fit, the one of least priority holds. Without one the claim is
+    unmapped. Rules are broadcast where they are few (counted).
+    """
+    few = rules.count() <= SENT_RULES
+    r = rules.select(*(F.col(c).alias(f"_{c}") for c in rules.columns))
+    fits = (F.col("status") == F.col("_status")) & (F.col("target") == F.col("_target"))
+    j = claims.join(F.broadcast(r) if few else r, fits, "left").where("_status is null or ((_metric is null or _metric = metric) and (_condition is null or _condition = condition))")
+    best = j.groupBy("id").agg(F.min_by("_destination", "_priority").alias("destination"))
+    return claims.join(best, "id", "left").withColumn("destination", F.coalesce("destination", F.lit("unmapped")))
 
 
 def incomplete(claims: DataFrame, mapped: DataFrame) -> DataFrame:
@@ -59,3 +72,8 @@ def shifts(deltas: DataFrame, ranges: DataFrame) -> DataFrame:
     inside = lambda c: F.col(c).between(F.col("lo"), F.col("hi"))
     shift = F.when(inside("generated") & ~inside("final"), "widen").when(~inside("generated") & inside("final"), "enforce")
     return j.withColumn("shift", shift).where("shift is not null").select("a", "b", "metric", "shift")
+
+
+def shift_counts(found: DataFrame) -> DataFrame:
+    """metric, shift, n: how often feedback asks to widen or to enforce a metric's range."""
+    return found.groupBy("metric", "shift").agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import runtime
 from ..functions import stats as S
 from ..functions import text as T
-from ..operators import decisions, distributions, evaluation, ngrams, overlap, stats
+from ..operators import blocks, corpus, decisions, distributions, evaluation, features, ngrams, overlap, review, stats
 from .queries import _DOCS, _E, _RECORDS, _S, _documents, _endings, _grams, _items, _lower, _q, _r, _records, _term, _upper, query
 
 _NAMES = [m[0] for m in decisions.METRICS]
@@ -266,3 +266,80 @@ def split_sets(spark, folder):
         part = rows.select(F.lit(name).alias("kind"), "article_id")
         out = part if out is None else out.unionByName(part)
     return out.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+_MOVES = f"""{_VALUES}, {_B}, pm AS (SELECT DISTINCT article_id AS a, dup_of AS b FROM manifest WHERE dup_of IS NOT NULL), one AS (SELECT article_id, metric, max(value) AS value FROM vals GROUP BY 1, 2),
+  rg AS (SELECT metric, min(warn_lo) AS lo, max(warn_hi) AS hi FROM lim WHERE rule = 'range' AND author_id = (SELECT min(author_id) FROM lim) GROUP BY 1),
+  sh AS (SELECT a, b, x.metric, CASE WHEN x.value BETWEEN lo AND hi AND NOT y.value BETWEEN lo AND hi THEN 'widen' WHEN NOT x.value BETWEEN lo AND hi AND y.value BETWEEN lo AND hi THEN 'enforce' END AS shift FROM pm JOIN one x ON x.article_id = a JOIN one y ON y.article_id = b AND y.metric = x.metric JOIN rg ON rg.metric = x.metric)"""
+
+
+@query(f"WITH {_MOVES} SELECT metric, shift, count(*) AS n FROM sh WHERE shift IS NOT NULL GROUP BY 1, 2")
+def gate_shifts(spark, folder):
+    values = _values(spark, folder)
+    t = decisions.thresholds(values, ["author_id"]).where("rule = 'range'")
+    first = t.agg(F.min("author_id")).first()[0]
+    ranges = t.where(F.col("author_id") == first).select("metric", F.col("warn_lo").alias("lo"), F.col("warn_hi").alias("hi"))
+    one = values.groupBy("article_id", "metric").agg(F.max("value").alias("value"))
+    pairs = runtime.table(spark, folder, "manifest").where("dup_of is not null").select(F.col("article_id").alias("a"), F.col("dup_of").alias("b")).distinct()
+    x, y = one.select(F.col("article_id").alias("a"), "metric", F.col("value").alias("generated")), one.select(F.col("article_id").alias("b"), "metric", F.col("value").alias("final"))
+    return review.shift_counts(review.shifts(pairs.join(x, "a").join(y, ["b", "metric"]), ranges))
+
+
+@query("SELECT DISTINCT article_id, problem FROM (SELECT article_id, UNNEST(list_filter([CASE WHEN article_id IS NULL THEN 'missing:article_id' END, CASE WHEN split IS NULL THEN 'missing:split' WHEN split NOT IN ('train', 'dev') THEN 'domain:split' END], lambda x: x IS NOT NULL)) AS problem FROM splits)")
+def split_problems(spark, folder):
+    # The holdout is no part of the splits a profile may read.
+    return corpus.invalid_rows(runtime.table(spark, folder, "splits"), "article_id", ["article_id", "split"], {"split": corpus.SPLITS[:2]})
+
+
+@query(
+    """SELECT DISTINCT article_id, problem FROM (SELECT article_id, 'missing:blocks' AS problem FROM clean WHERE blocks IS NULL UNION ALL SELECT article_id, UNNEST(list_filter([CASE WHEN b.type IS NULL OR b.type NOT IN ('body', 'quote', 'code', 'boilerplate', 'editorial') THEN 'domain:type' END,
+  CASE WHEN b.text IS NULL THEN 'missing:text' END, CASE WHEN b.char_start IS NULL OR b.char_end IS NULL OR b.char_end < b.char_start THEN 'span' END], lambda x: x IS NOT NULL)) FROM (SELECT article_id, UNNEST(blocks) AS b FROM clean))"""
+)
+def clean_problems(spark, folder):
+    return corpus.invalid_blocks(runtime.table(spark, folder, "clean"), "article_id")
+
+
+@query(f"WITH {_CLAIM}, s AS (SELECT author_id || ':' || metric AS id, metric, CASE WHEN support AND stable THEN 'core' WHEN NOT support THEN 'local' ELSE 'ambiguous' END AS status FROM k) SELECT id, CASE WHEN status = 'core' AND metric = 'sent_len_median' THEN 'lint' WHEN status = 'core' THEN 'rules' WHEN status = 'local' THEN 'excluded' ELSE 'unmapped' END AS destination FROM s")
+def claim_routes(spark, folder):
+    k = decisions.claim_gates(_values(spark, folder), _strata(spark, folder), ["author_id"]).select(F.concat_ws(":", "author_id", "metric").alias("id"), "status", "target", "metric", F.lit(None).cast("string").alias("condition"))
+    rules = spark.createDataFrame(
+        [("core", "always_on_rule", "sent_len_median", None, "lint", 1), ("core", "always_on_rule", None, None, "rules", 2), ("local", "example", None, None, "excluded", 1)],
+        "status string, target string, metric string, condition string, destination string, priority int",
+    )
+    return review.routed(k, rules).select("id", "destination")
+
+
+@query(f"WITH {_CLAIM}, s AS (SELECT author_id || ':' || metric AS id, CASE WHEN support AND stable THEN 1 ELSE 0 END AS core FROM k) SELECT id, 'unmapped' AS problem FROM s WHERE core = 0 UNION ALL SELECT 'gone', 'unknown'")
+def incomplete_claims(spark, folder):
+    k = decisions.claim_gates(_values(spark, folder), _strata(spark, folder), ["author_id"]).select(F.concat_ws(":", "author_id", "metric").alias("id"), "status")
+    mapped = k.where("status = 'core'").select("id").unionByName(spark.createDataFrame([("gone",)], "id string"))
+    return review.incomplete(k.select("id"), mapped)
+
+
+@query("SELECT article_id, feature_schema, CASE WHEN feature_schema IS NULL THEN 'unknown' WHEN feature_schema <> '2' THEN 'version_mismatch' ELSE 'match' END AS fit FROM (SELECT DISTINCT article_id, feature_schema FROM features)")
+def analyzer_fit(spark, folder):
+    f = runtime.table(spark, folder, "features").select("article_id", "feature_schema").distinct()
+    mode = F.when(F.col("feature_schema").isNotNull(), "rules")
+    return f.withColumn("fit", review.analyzer_match(mode, F.col("feature_schema"), F.lit("rules"), F.lit("2")))
+
+
+_PROSE = """ps AS (SELECT article_id, block_index, max(text) AS text FROM segments WHERE text IS NOT NULL AND article_id IS NOT NULL GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_PROSE} SELECT article_id, CAST(length(string_agg(text, chr(10) || chr(10) ORDER BY block_index)) AS INT) AS n_chars, sha256(string_agg(text, chr(10) || chr(10) ORDER BY block_index)) AS h, CAST(sum(length(text) + 2) - max_by(length(text) + 2, block_index) AS INT) AS last_offset FROM ps GROUP BY 1")
+def prose_documents(spark, folder):
+    one = runtime.table(spark, folder, "segments").where("text is not null and article_id is not null").groupBy("article_id", "block_index").agg(F.max("text").alias("text"))
+    segments = one.groupBy("article_id").agg(F.sort_array(F.collect_list(F.struct("block_index", "text"))).alias("segments"))  # of one article
+    d = segments.select("article_id", blocks.prose_document(F.col("segments")).alias("d"))
+    return d.select("article_id", F.length("d.text").alias("n_chars"), T.content_hash(F.col("d.text")).alias("h"), F.element_at("d.offsets", -1).alias("last_offset"))
+
+
+_NS = f"""{_PROSE}, m AS (SELECT article_id, block_index, max(n) AS n FROM (SELECT article_id, block_index, list_sum(list_transform(coalesce(masked, []), lambda x: x.e - x.s)) AS n FROM segments) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_NS} SELECT article_id, CAST(sum(len(regexp_extract_all(text, '{T.SENTENCE}'))) AS BIGINT) AS n_sents, CAST(sum(length(replace(text, chr(10), '')) - coalesce(n, 0)) AS BIGINT) AS n_chars FROM ps JOIN m USING (article_id, block_index) GROUP BY 1")
+def article_counts(spark, folder):
+    s = runtime.table(spark, folder, "segments").where("article_id is not null")
+    size = F.aggregate(F.coalesce("masked", F.array().cast("array<struct<s:int,e:int>>")), F.lit(0), lambda acc, x: acc + x["e"] - x["s"])
+    one = s.groupBy("article_id", "block_index").agg(F.max("text").alias("text"), F.max(size).alias("n_masked_chars")).where("text is not null")
+    return features.article_counts(one, ["article_id"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from inkloom.functions import stats as S
 from inkloom.functions import text as T
-from inkloom.operators import blocks, corpus, distributions, evaluation, features, ngrams, overlap, review, stats, tokens
+from inkloom.operators import blocks, channels, corpus, decisions, distributions, evaluation, features, ngrams, overlap, review, stats
 from inkloom.sources import corpus as sources
 
 
@@ -225,14 +225,114 @@ def test_claim_drift_kinds(spark):
     assert {r["metric"]: r["kind"] for r in evaluation.claim_drift(claims, now).collect()} == {"m": None, "n": "value_drift", "x": "metric_not_in_schema", "u": "not_evaluable"}
 
 
+TOKENS = "a string, sent_idx int, tok_idx int, surface string, pos string, pos_detail string, base string, cform string, masked boolean"
+
+
+def token_table(spark, sentences):
+    """Sentences of (surface, pos, detail, base, cform, masked) by article and paragraph."""
+    rows = [(a, i, k, *t) for a, i, _, ts in sentences for k, t in enumerate(ts)]
+    return spark.createDataFrame(rows, TOKENS), spark.createDataFrame([(a, i, p) for a, i, p, _ in sentences], "a string, sent_idx int, para int")
+
+
+WATASHI = ("私", "代名詞", "*", "私", "*", False)
+WA, WO, TA = ("は", "助詞", "係助詞", "は", "*", False), ("を", "助詞", "格助詞", "を", "*", False), ("た", "助動詞", "*", "た", "終止形", False)
+BOOK, READ, COMMA, STOP = ("本", "名詞", "普通名詞", "本", "*", False), ("読み", "動詞", "一般", "読む", "連用形", None), ("、", "補助記号", "読点", "、", "*", False), ("。", "補助記号", "句点", "。", "*", False)
+CODE, BUT, KOTO = ("識別子", "名詞", "普通名詞", "識別子", "*", True), ("しかし", "接続詞", "*", "しかし", "*", False), ("こと", "名詞", "普通名詞", "こと", "*", False)
+
+
 def test_token_channels(spark):
-    t = [Row(a=1, s=0, tok_idx=i, surface=w, pos=p, base=w) for i, (w, p) in enumerate([("私", "代名詞"), ("は", "助詞"), ("本", "名詞"), ("、", "補助記号"), ("を", "助詞"), ("読む", "動詞")])]
-    df = spark.createDataFrame(t)
-    assert [r["gram"] for r in tokens.adjacent(tokens.content(df), ["a", "s"], tokens.masked_lemma(F.col("base"), F.col("pos")), 2).collect()] == ["私|は", "は|名詞", "名詞|を", "を|動詞"]
-    assert tokens.suffixes(df, ["a", "s"], 2).first()["suffix"] == "を|動詞"
-    assert tokens.before_commas(df, ["a", "s"]).first()["base"] == "本"
-    r = tokens.rates(df, ["a"]).first()
-    assert r["func_word_rate"] == pytest.approx(0.4) and r["first_person_rate"] == pytest.approx(0.2)
+    sentences = [("x", 0, 0, [WATASHI, WA, COMMA, BOOK, WO, READ, TA, STOP]), ("x", 1, 0, [BUT, CODE, COMMA, KOTO, READ, TA]), ("x", 2, 1, []), ("x", 3, 1, [READ, TA]), ("x", 4, 2, [CODE, STOP])]
+    tok, sent = token_table(spark, sentences)
+    got = {}
+    for r in channels.channel_distributions(tok, sent, ["a"]).collect():
+        got.setdefault(r["channel"], {})[r["key"]] = r["n"]
+        assert 0 < r["p"] <= 1
+    assert got["pos_unigram"] == {"代名詞": 1, "助詞": 2, "名詞": 2, "動詞": 3, "助動詞": 3, "接続詞": 1}
+    assert got["content_masked_lemma_bigram"] == {"私|は": 1, "は|名詞": 1, "名詞|を": 1, "を|動詞": 1, "動詞|た": 3, "しかし|こと": 1, "こと|動詞": 1}
+    assert got["final_suffix2"] == {"動詞|た": 3} and got["final_suffix3"] == {"を|動詞|た": 1, "こと|動詞|た": 1, "動詞|た": 1}
+    assert got["pre_comma_pos"] == {"助詞": 1, "接続詞": 1} and got["pre_comma_lemma"] == {"は": 1, "しかし": 1}
+    assert got["para_initial_pos"] == {"代名詞": 1, "動詞": 1} and "para_initial_conj" not in got and got["formal_noun"] == {"こと": 1}
+    assert got["particle_bigram"] == {"は|を": 1} and got["final_pos_cform"] == {"助動詞|終止形": 3}
+    r = channels.channel_scalars(tok, sent, ["a"]).first()
+    assert r["past_rate"] == 3 / 5 and r["conj_rate"] == 1 / 5 and r["max_consecutive_same_suffix2"] == 2 and r["verb_noun_ratio"] == 1.5 and r["first_person_top_share"] == 1.0
+    s = {r["channel"]: r["sample"] for r in channels.sample_sizes(tok, sent, ["a"]).collect()}
+    assert s["pos_unigram"] == 12 and s["pos_bigram"] == 7 and s["funcword_bigram"] == 3 and s["final_suffix2"] == 3
+    assert len(channels.CHANNELS) == 35 == channels.registry(spark).count() and set(s) <= {c[0] for c in channels.CHANNELS}
+    empty = channels.channel_scalars(tok.where("false"), sent, ["a"]).first()
+    assert empty["formal_noun_rate"] is None and empty["past_rate"] == 0.0
+
+
+def test_masked_tokens_change_nothing(spark):
+    plain = [("x", 0, 0, [WATASHI, WA, BOOK, WO, READ, TA])]
+    with_code = [("x", 0, 0, [WATASHI, WA, CODE, BOOK, WO, CODE, READ, TA])]
+    rows = [sorted(map(tuple, channels.channel_distributions(*token_table(spark, s), ["a"]).collect())) for s in (plain, with_code)]
+    assert rows[0] == rows[1]
+    spans = spark.createDataFrame([(0, 2, [(1, 3)]), (3, 4, [(1, 3)]), (0, 1, None)], "start int, end int, spans array<struct<s:int,e:int>>")
+    assert [r["masked"] for r in channels.mark_masked(spans).collect()] == [True, False, False]
+
+
+def test_whole_stream_goes_across_sentences(spark):
+    tok, _ = token_table(spark, [("x", 0, 0, [WATASHI, WA]), ("x", 1, 0, [BOOK, WO])])
+    got = {(r["feature"], r["key"]) for r in channels.whole_stream(tok, ["a"]).collect()}
+    assert ("particle_bigram", "は|を") in got and ("pos_bigram", "助詞|名詞") in got
+
+
+def test_weighted_bootstrap_and_agreement(spark):
+    import random
+
+    df = spark.createDataFrame([("g", i, float(i), 1.0 + i % 3) for i in range(9)], "g string, o int, v double, w double")
+    r = stats.weighted_bootstrap_ci(df, ["g"], "v", "w", ["o"], n=50).first()
+    rng, v, w = random.Random(42), [float(i) for i in range(9)], [1.0 + i % 3 for i in range(9)]
+
+    def median(at):
+        total, acc = sum(w[i] for i in at), 0.0
+        for i in sorted(at, key=lambda i: v[i]):
+            acc += w[i]
+            if acc >= total / 2:
+                return v[i]
+
+    draws = sorted(median([rng.randrange(9) for _ in range(9)]) for _ in range(50))
+    assert r["median"] == median(range(9)) and draws[0] <= r["ci_lo"] <= r["ci_hi"] <= draws[-1]
+    agree = stats.direction_agreement(df, ["g"], "v", ["o"], 0.5, n=20).first()["agreement"]
+    assert agree == 1.0 and stats.direction_agreement(df, ["g"], "v", ["o"], 4.0, n=20).first()["agreement"] == 0.0
+
+
+def test_copy_gate_limits(spark):
+    one = lambda c, v: spark.createDataFrame([(1, v)], f"k int, {c} double")
+    texts = spark.createDataFrame([(1, "x"), (2, "y")], "k int, t string")
+    got = lambda e, j, m, b: {r["k"]: r["status"] for r in decisions.copy_gate(one("length", e), one("jaccard", j), one("minhash", m), one("best", b), texts, "k").collect()}
+    assert got(25.0, 0.35, 0.7, 0.8) == {1: "pass", 2: "pass"} and got(26.0, 0.0, 0.0, 0.0)[1] == "fail" and got(0.0, 0.36, 0.0, 0.0)[1] == "fail" and got(0.0, 0.0, 0.0, 0.81)[1] == "fail"
+
+
+def test_example_sentences(spark):
+    s = spark.createDataFrame([("x", i, t) for i, t in enumerate(["a", "b1", "b2", "b3"])], "a string, pos int, sentence string")
+    d = spark.createDataFrame([("x", "b", 0.5), ("x", "a", 0.1), ("x", "c", -0.9)], "a string, key string, delta double")
+    got = decisions.example_sentences(s, d, ["a"], F.col("sentence").startswith(F.col("key")))
+    assert [r["sentence"] for r in got.orderBy("pos").collect()] == ["b1", "b2"]
+
+
+def test_document_raw_spans(spark):
+    text = "first `c` line\n\n- item one\n- item two"
+    df = blocks.with_segments(blocks.with_blocks(spark.createDataFrame([(text,)], "text string")))
+    d = df.withColumn("d", blocks.prose_document(F.col("segments")))
+    r = d.select("d.*", blocks.document_raw_span(F.col("segments"), F.col("d.offsets"), F.lit(0), F.lit(5)).alias("x"), blocks.document_raw_span(F.col("segments"), F.expr("d.offsets"), F.expr("d.offsets[1] + 9"), F.expr("d.offsets[1] + 17")).alias("y")).first()
+    assert text[r["x"]["s"] : r["x"]["e"]] == "first" and text[r["y"]["s"] : r["y"]["e"]] == "item two"
+
+
+def test_records_round_trip_and_versions(spark, tmp_path):
+    from pyspark.sql import types
+
+    schema = types.StructType([types.StructField("id", types.StringType()), types.StructField("feature_schema", types.StringType())])
+    (tmp_path / "fb-1.json").write_text('{"id": "a", "feature_schema": "2"}')
+    (tmp_path / "fb-2.json").write_text('[{"id": "b", "feature_schema": "2"}]')
+    rows = sources.read_records(spark, str(tmp_path / "fb-*.json"), schema)
+    assert {r["id"] for r in sources.of_version(rows).collect()} == {"a", "b"}
+    sources.write_records(rows, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    with pytest.raises(Exception, match="schema version differs"):
+        sources.of_version(rows.withColumn("feature_schema", F.lit("1"))).collect()
+
+
 
 
 def test_token_windows(spark):
@@ -263,8 +363,12 @@ def test_review(spark):
     assert {(r["kind"], r["detail"]) for r in review.findings(files).collect()} == {("placeholder", "{{name}}"), ("secret", "aws_access_key"), ("dead_reference", "references/c.md")}
     pairs = spark.createDataFrame([("abcd", "bcde"), (None, "")], "a string, b string")
     assert [r["ratio"] for r in review.edit_ratio(pairs, "a", "b").collect()] == [0.75, 1.0]
-    claims, rules = spark.createDataFrame([(1, "core", "voice"), (2, "local", "x")], "id int, status string, target string"), spark.createDataFrame([("core", "voice", "rules")], "status string, target string, destination string")
-    assert {r["id"]: r["destination"] for r in review.routed(claims, rules).collect()} == {1: "rules", 2: "unmapped"}
+    claims = spark.createDataFrame([(1, "core", "voice", "m", None), (2, "local", "x", "m", None), (3, "core", "voice", "n", "c")], "id int, status string, target string, metric string, condition string")
+    rules = spark.createDataFrame(
+        [("core", "voice", None, None, "rules", 2), ("core", "voice", "n", "c", "special", 1), ("core", "voice", "m", "other", "wrong", 0)],
+        "status string, target string, metric string, condition string, destination string, priority int",
+    )
+    assert {r["id"]: r["destination"] for r in review.routed(claims, rules).collect()} == {1: "rules", 2: "unmapped", 3: "special"}
 
 
 def test_empty_tables_give_empty_results(spark):
