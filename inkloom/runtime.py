@@ -55,7 +55,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         files.deleteOnExit(at)
         _RUNS.add(run)
     path = f"{run}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._inkloom_path = path
     return out
