@@ -205,23 +205,24 @@ def _packed(g, own, sizes, where, partitions: int) -> pa.RecordBatch:
     order = np.lexsort((key, part))
     key, doc, where, part = key[order], doc[order], where[order], part[order]
     edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-    big, far = ("<u2" if most < 1 << 16 else "<u4" for most in (len(docs), int(where.max(initial=0))))
+    big, far, own_size = ("<u2" if most < 1 << 16 else "<u4" for most in (len(docs), int(where.max(initial=0)), int(sizes.max(initial=0))))
+    near = "<u4" if len(docs) and int(docs[-1]) - int(docs[0]) < 1 << 32 else "<i8"
     out = []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         p = int(part[a])
         used, mine = np.unique(doc[a:b], return_inverse=True)
         steps = np.diff(key[a:b], prepend=np.uint64(0)).astype("<u8")
-        head = np.array([b - a, len(used), int(big[2]) + 8 * int(far[2]), int(docs[used[0]])], dtype="<i8")
+        head = np.array([b - a, len(used), int(big[2]) + 16 * int(far[2]) + 256 * int(own_size[2]) + 4096 * int(near[2]), int(docs[used[0]])], dtype="<i8")
         # The first step has 8 bytes; the others 5.
         tail = steps.view(np.uint8).reshape(-1, 8)[:, :5]
-        out.append((p, b"".join((head.tobytes(), np.ascontiguousarray(tail.T).tobytes(), mine.astype(big).tobytes(), where[a:b].astype(far).tobytes(), (docs[used] - docs[used[0]]).astype("<i8").tobytes(), sizes[first[used]].astype("<u4").tobytes()))))
+        out.append((p, b"".join((head.tobytes(), np.ascontiguousarray(tail.T).tobytes(), mine.astype(big).tobytes(), where[a:b].astype(far).tobytes(), (docs[used] - docs[used[0]]).astype(near).tobytes(), sizes[first[used]].astype(own_size).tobytes()))))
     return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["part", "rows"])
 
 
 def _unpacked(rows: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(g, id, size, pos) of packed rows."""
     n, m, widths, base = np.frombuffer(rows, "<i8", 4).tolist()
-    width, far = widths % 8, widths // 8
+    width, far, own_size, near = (widths >> k & 15 for k in (0, 4, 8, 12))
     at = 32
     steps = np.zeros((n, 8), dtype=np.uint8)
     steps[:, :5] = np.frombuffer(rows, np.uint8, 5 * n, at).reshape(5, n).T
@@ -231,8 +232,8 @@ def _unpacked(rows: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     at += width * n
     pos = np.frombuffer(rows, f"<u{far}", n, at)
     at += far * n
-    ids = np.frombuffer(rows, "<i8", m, at) + base
-    sizes = np.frombuffer(rows, "<u4", m, at + 8 * m)
+    ids = np.frombuffer(rows, "<i8" if near == 8 else "<u4", m, at).astype(np.int64) + base
+    sizes = np.frombuffer(rows, f"<u{own_size}", m, at + near * m)
     return key, ids[doc], sizes[doc].astype(np.int64), pos.astype(np.int64)
 
 

@@ -301,16 +301,23 @@ def overlapping_records(records: DataFrame, n: int, above: float) -> DataFrame:
     )
 
 
-def split_records(bodies: DataFrame, sides: DataFrame) -> DataFrame:
-    """(id, body, in_train, in_eval): one row of bodies(id, row, article_id, body) for each text, on the sides of all its articles.
+def split_texts(bodies: DataFrame, sides: DataFrame) -> DataFrame:
+    """(text, id, in_train, in_eval): for each distinct text of bodies(text, id, article_id) the id of its first row and the sides of all its articles.
 
-    What is shuffled is ids and row numbers, not texts; the rows to keep are broadcast where they are few
-    (counted: at most SENT_IDS), and joined otherwise. Texts of articles without a side are left out.
+    Texts of articles without a side are left out. ``text`` is a hash; ids are row numbers.
     """
-    first = bodies.select("article_id", "id", "row").join(sides, "article_id").groupBy("id").agg(F.min("row").alias("row"), F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval"))
-    first = runtime.materialize(first.drop("id"), "first")
-    few = first.count() <= SENT_IDS
-    return bodies.select("id", "row", "body").join(F.broadcast(first) if few else first, "row").select("id", "body", "in_train", "in_eval")
+    known = bodies.select("article_id", "text", "id").join(sides, "article_id")
+    return runtime.materialize(known.groupBy("text").agg(F.min("id").alias("id"), F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval")), "first")
+
+
+def split_records(bodies: DataFrame, first: DataFrame) -> DataFrame:
+    """(id, body, in_train, in_eval): the rows of bodies(id, body) that ``first`` names.
+
+    Texts are not shuffled; the rows to keep are broadcast where they are few (counted: at most SENT_IDS), and
+    joined otherwise.
+    """
+    kept = first.select("id", "in_train", "in_eval")
+    return bodies.select("id", "body").join(F.broadcast(kept) if first.count() <= SENT_IDS else kept, "id").select("id", "body", "in_train", "in_eval")
 
 
 def split_overlaps(clean: DataFrame, splits: DataFrame, n: int = 8, above: float = 0.3, min_chars: int = 20) -> DataFrame:
@@ -322,12 +329,13 @@ def split_overlaps(clean: DataFrame, splits: DataFrame, n: int = 8, above: float
     parts = splits.where("article_id is not null and split in ('train', 'dev', 'holdout')").select("article_id", "split").distinct()
     sides = parts.groupBy("article_id").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval"))
     kept = squeezed_bodies(clean).where(F.length("body") >= min_chars)
-    bodies = runtime.materialize(runtime.spread(kept.select("article_id", "body", F.xxhash64("body").alias("id"), F.monotonically_increasing_id().alias("row"))), "bodies")
-    records = split_records(bodies, sides)
+    bodies = runtime.materialize(runtime.spread(kept.select("article_id", "body", F.xxhash64("body").alias("text"), F.monotonically_increasing_id().alias("id"))), "bodies")
+    first = split_texts(bodies, sides)
+    records = split_records(bodies, first)
     links = overlapping_records(records.select("id", "body", "in_train", "in_eval"), n, above)
     # Equal texts are one record: it overlaps itself if it lies on both sides.
-    same = records.where("in_train and in_eval").select(F.col("id").alias("a"), F.col("id").alias("b"))
-    members = runtime.materialize(bodies.select("id", "article_id").join(parts, "article_id").distinct(), "members")
+    same = first.where("in_train and in_eval").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    members = runtime.materialize(bodies.select("text", "article_id").join(parts, "article_id").join(first.select("text", "id"), "text").select("id", "article_id", "split").distinct(), "members")
     train = members.where("split = 'train'").select(F.col("id").alias("a"), F.col("article_id").alias("x"))
     other = members.where("split <> 'train'").select(F.col("id").alias("b"), F.col("article_id").alias("y"), F.col("split").alias("eval_split"))
     pairs = links.select("a", "b").unionByName(same).join(train, "a").join(other, "b").where("x <> y")
