@@ -7,8 +7,12 @@ Windows that agree exactly in all but two characters count as hits. A document w
 of an item is verified: exact runs along diagonals, joined over one mistyped character, must cover half
 of the item's letters and digits.
 
-The items are a stated query set, sent to the executors in blocks of ``BLOCK`` items; documents are
-neither shuffled nor collected.
+Windows as long as whole items can't see half of an item in pieces (the README has figures), so windows have
+the length of the shortest passage's clean half.
+
+The items are a stated query set, sent to the executors in blocks of ``BLOCK`` items; ``PASS`` blocks are looked
+up in one pass over the documents, whose SimHashes are made once a pass. Documents are neither shuffled
+nor collected.
 """
 
 from __future__ import annotations
@@ -22,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .. import runtime
-from .vec import code_points, mix
+from .vec import code_points, mix, slices
 
 RADIUS = 3
-BLOCK = 5000
+BLOCK, PASS = 5000, 8
 #: Shortest passage and window (its clean half) for Japanese and Chinese, and for others.
 DENSE, SPACED = (20, 9), (30, 14)
 LEAST = 20
@@ -134,7 +138,7 @@ def covered(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray, length: in
         if b - a >= length:
             mark[a] += 1
             mark[b] -= 1
-        for gap in (0, 1, 2):
+        for gap in (-1, 0, 1, 2):  # a letter typed twice lets the runs overlap by one place
             for end, other in by_start.get(b + gap, ()):
                 if (other == d and gap > 0 or abs(other - d) == 1 and gap < 2) and end - a >= length:
                     mark[a] += 1
@@ -142,16 +146,19 @@ def covered(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray, length: in
     return int((np.cumsum(mark)[:m] > 0).sum())
 
 
-def leaked(texts: list[str | None], index: Index) -> list[tuple[int, int, float]]:
+def leaked(texts: list[str | None], indexes: list[Index]) -> list[tuple[int, int, float]]:
     """(index of text, item_id, covered share) of the texts that hold half of an item."""
-    squeezed = [squeeze(t) for t in texts]
-    flat, offsets = code_points(squeezed)
-    windows = tuple(sorted(index.by_window))
+    flat, offsets = code_points([squeeze(t) for t in texts])
+    windows = tuple(sorted({w for index in indexes for w in index.by_window}))
     if not windows or len(flat) < windows[0]:
         return []
     prints = dict(zip(windows, simhashes(flat, windows)))
+    return [row for index in indexes for row in _held(flat, offsets, prints, index)]
+
+
+def _held(flat: np.ndarray, offsets: np.ndarray, prints: dict[int, np.ndarray], index: Index) -> list[tuple[int, int, float]]:
     out = []
-    for w in windows:
+    for w in index.by_window:
         length, own, pos, _, _ = index.by_window[w]
         i, j = index.hits(prints[w], w)
         row = np.searchsorted(offsets, i, side="right") - 1
@@ -196,23 +203,22 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST) -> DataFra
     documents = runtime.spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
     queries = items.where("item_id is not null and text is not null").select("item_id", "text", "lang").distinct()
     out = None
-    total = queries.count()
-    parts = max(1, -(-total // BLOCK))
+    parts = max(1, -(-queries.count() // (BLOCK * PASS)))
     for p in range(parts):
         block = queries if parts == 1 else queries.where(f"pmod(xxhash64(item_id), {parts}) = {p}")
         rows = [(r["item_id"], squeeze(r["text"]), r["lang"] in ("ja", "zh") if r["lang"] else bool(_DENSE_SCRIPT.search(r["text"]))) for r in block.collect()]
         shared = spark.sparkContext.broadcast([r for r in rows if len(r[1]) >= least])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
-            for batch in batches:
-                ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-                for a in range(0, len(texts), 500):
-                    found = leaked(texts[a : a + 500], index)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array([a + r for r, _, _ in found], pa.int64())), pa.array([k for _, k, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.float64())],
-                        names=["doc_id", "item_id", "share"],
-                    )
+            items = shared.value
+            indexes = [Index(items[a : a + BLOCK]) for a in range(0, len(items), BLOCK)]
+            for batch in slices(batches, "text"):
+                found = leaked(batch.column("text").to_pylist(), indexes)
+                ids = batch.column("doc_id")
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array([r for r, _, _ in found], pa.int64())), pa.array([k for _, k, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.float64())],
+                    names=["doc_id", "item_id", "share"],
+                )
 
         part = documents.mapInArrow(run, "doc_id long, item_id long, share double")
         out = part if out is None else out.unionByName(part)

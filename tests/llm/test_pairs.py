@@ -208,3 +208,18 @@ def test_split_overlaps_find_pairs_with_edits_close_together(spark):
     want = {(a, b, of[b]) for a, b in similar(texts, 8, 0.3, strict=True)}
     got = {tuple(r) for r in split_overlap.split_overlaps(clean(spark, texts), spark.createDataFrame(rows, "author_id string, article_id string, split string")).collect()}
     assert len(want) > 20 and got == want
+
+
+def test_a_letter_typed_twice_does_not_undo_a_passage(spark):
+    item = "".join(chr(0x3042 + (7 * k * k + 3 * k) % 70) for k in range(24))
+    docs = spark.createDataFrame([(1, "前" * 9 + item[:12] + item[11] + item[12:] + "後" * 9), (2, item[:12])], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item, "ja")], "item_id long, text string, lang string")
+    assert [(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs, items).collect()] == [(1, 7)]
+
+
+def test_blocks_of_items_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "BLOCK", 2)
+    texts = ["".join(chr(0x4E00 + (k * k * 31 + i * 977 + k) % 900) for k in range(30)) for i in range(5)]
+    items = spark.createDataFrame([(i, t, "zh") for i, t in enumerate(texts)], "item_id long, text string, lang string")
+    docs = spark.createDataFrame([(i, "一二三" + t + "四五") for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs, items).collect()} == {(i, i) for i in range(5)}
