@@ -223,3 +223,22 @@ def test_blocks_of_items_in_one_pass(spark, monkeypatch):
     items = spark.createDataFrame([(i, t, "zh") for i, t in enumerate(texts)], "item_id long, text string, lang string")
     docs = spark.createDataFrame([(i, "一二三" + t + "四五") for i, t in enumerate(texts)], "doc_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs, items).collect()} == {(i, i) for i in range(5)}
+
+
+def test_sketches_bound_the_distance_and_tell_long_texts_apart(spark):
+    from fractions import Fraction
+
+    rng = random.Random(5)
+    base = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(k)) for k in (30, 400, 3000, 3000, 6000)]
+    texts = base + [edited(rng, t, max(1, len(t) // 80)) for t in base]
+    df = spark.createDataFrame([(i, t, len(t) - 4) for i, t in enumerate(texts)], "id long, body string, size int")
+    made = near_dup.with_sketch(df, 5)
+    sketch = {r["id"]: r["sketch"] for r in made.collect()}
+    pairs = [(a, b) for a in range(10) for b in range(10) if a < b]
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    apart = near_dup.least_apart([sketch[a] for a, _ in pairs], [sketch[b] for _, b in pairs])
+    assert all(x <= len(sets[a] ^ sets[b]) for x, (a, b) in zip(apart.tolist(), pairs))
+    near, far = [(i, i + 5) for i in range(1, 5)], [(2, 3), (2, 8), (3, 7), (7, 8)]
+    got = near_dup.candidate_pairs(spark.createDataFrame(near + far + near, "a long, b long"), made, Fraction(4, 5))
+    assert sorted(map(tuple, got.collect())) == near
+    assert near_dup.least_apart([], []).tolist() == []
