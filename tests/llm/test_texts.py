@@ -125,6 +125,13 @@ def test_skeleton_groups(spark):
     assert confusables.with_kinds(df.withColumn("kinds", F.lit(1))).count() == 5
 
 
+def test_skeleton_groups_of_radicals_and_all_ignorable_characters(spark):
+    alike = [("長い民", "\u2ed1い\u2ea0"), ("葛城", "葛\U000e0100城"), ("a\u2764b", "a\u2764\ufe0fb"), ("ab", "a\uffa0b"), ("卜部", "\u2e8a部"), ("x\u180by", "xy"), ("e\U000e0041f", "ef"), ("t\u0323\u180c\u0307", "t\u0307\u0323")]
+    df = spark.createDataFrame([(t,) for pair in alike for t in pair] + [("other",), ("",), (None,)], "text string")
+    assert [tuple(r)[1:] for r in confusables.skeleton_groups(df).collect()] == [(2, 2)] * len(alike)
+    assert confusables.unify("\u2ed1い\u2ea0") == "長い民" and confusables.unify("葛\U000e0100城") == "葛\U000e0100城"
+
+
 def test_words_of_equal_skeleton_decide_doubtful_words(spark):
     rows = [(1, "piece \u043ef it"), (2, "the best of all"), (3, "let \u03b1x be"), (4, None), (5, "r\u0430p\u0430l"), (6, "\u041c\u043e\u0441\u043a\u0432\u0430"), (1, "piece \u043ef it")]
     got = confusables.found_kinds(spark.createDataFrame(rows, "k int, text string"), ["k"])
