@@ -242,3 +242,21 @@ def test_sketches_bound_the_distance_and_tell_long_texts_apart(spark):
     got = near_dup.candidate_pairs(spark.createDataFrame(near + far + near, "a long, b long"), made, Fraction(4, 5))
     assert sorted(map(tuple, got.collect())) == near
     assert near_dup.least_apart([], []).tolist() == []
+
+
+def test_orders_counts_and_pieces_equal_the_plain_way():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for top in (1 << 20, 1 << 30):
+        a, b = rng.integers(0, 1 << 40, 900) % 50, rng.integers(0, top, 900)
+        order = near_dup.ordered(a, b, 24)
+        assert list(zip(a[order], b[order])) == sorted(zip(a, b)) and len(set(order.tolist())) == 900
+        got, want = split_overlap.counted(b % 70 + top, 1 << 40 if top == 1 << 30 else 1 << 21), np.unique(b % 70 + top, return_counts=True)
+        assert all((x == y).all() for x, y in zip(got, want))
+    assert [len(x) for x in split_overlap.counted(np.zeros(0, np.int64), 5)] == [0, 0] and not len(near_dup.ordered(a[:0], b[:0], 24))
+    first = rng.integers(0, 50, 200)
+    last = first + rng.integers(-3, 40, 200)
+    pieces = list(near_dup._expanded(first, last, 7))
+    assert [p for i, j in pieces for p in zip(i.tolist(), j.tolist())] == [(i, j) for i in range(200) for j in range(first[i], last[i])]
+    assert max(len(i) for i, _ in pieces) == 7
