@@ -1 +1 @@
-"""Operators for training-data pipelines. Nothing else in the library imports this package."""
+"""Operators for training-data pipelines. Of the rest of the library only ``operators.ngrams`` imports from this package: the joins of ``near_dup`` and ``split_overlap``."""

@@ -41,6 +41,10 @@ BUCKETS = 1 << 22
 SLICES = 64
 #: Characters of all records a partition of prefix n-grams, where the shuffle partitions are fewer.
 PART_CHARS = 2_000_000
+#: Partitions of n-grams for the sake of cores, at most: the more there are, the less each one's counts tell.
+SPREAD = 16
+#: Characters of either side that are compared in one round.
+ROUND_CHARS = 32_000_000
 #: Pairs of rows that share an n-gram, compared at once.
 PAIRS = 1 << 19
 
@@ -224,7 +228,7 @@ def matched_records(rows: DataFrame, t: Fraction, partitions: int) -> DataFrame:
         place = np.searchsorted(keys, g[e]) * span + m[e]
         # Partners have more than t * m_a n-grams, and fewer than what a has from here on / t.
         first = np.searchsorted(place, run * span + m[x] * num // den, side="right")
-        last = np.searchsorted(place, run * span + -(-rest[x] * den // num), side="left")
+        last = np.searchsorted(place, run * span + (-(-rest[x] * den // num) if num else span - 1), side="left")
         doc_x, doc_e, rest_e, m_x = doc[x], doc[e], rest[e] * den, m[x] * num
         del g, ident, size, pos, doc, side, m, rest, place, run
         # Whole records of train a piece, so that all n-grams that a pair shares here are counted at once.
@@ -254,11 +258,34 @@ def matched_records(rows: DataFrame, t: Fraction, partitions: int) -> DataFrame:
 
 
 def gram_pairs(records: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """(a, b), distinct: all pairs of a training and an evaluation record that can have a similarity above t."""
+    """(a, b), distinct: all pairs of a training and an evaluation record that can have a similarity above t.
+
+    Records that share an n-gram grow with the square of the input, and counts by partition tell less the more partitions
+    there are. So blocks of both sides are compared in rounds, each with few partitions; only the pairs that are left
+    are kept, and a round's shuffle is freed before the next.
+    """
     spark = records.sparkSession
-    size = records.agg(F.sum(F.length("body"))).first()[0] or 0
-    partitions = max(runtime.shuffle_partitions(spark), -(-size // PART_CHARS))
-    parts = matched_records(gram_rows(records, n, t, rarity(records, n), partitions), t, partitions)
+    chars = F.length("body")
+    sizes = records.agg(F.sum(F.when(F.col("in_train"), chars)), F.sum(F.when(F.col("in_eval"), chars))).first()
+    rounds_a, rounds_b = (max(1, -(-(size or 0) // ROUND_CHARS)) for size in sizes)
+    ranks, out = rarity(records, n), None
+    block = lambda k: F.pmod(F.xxhash64("id"), F.lit(k))
+    for i in range(rounds_a):
+        for j in range(rounds_b):
+            part = records.withColumn("in_train", F.col("in_train") & (block(rounds_a) == i)).withColumn("in_eval", F.col("in_eval") & (block(rounds_b) == j))
+            found = _round(part.where("in_train or in_eval"), n, t, ranks, (sizes[0] or 0) // rounds_a + (sizes[1] or 0) // rounds_b)
+            if rounds_a * rounds_b == 1:
+                return found
+            out = runtime.materialize(found, "round", out)
+            del found, part
+            runtime.free_shuffles(spark)
+    return out
+
+
+def _round(records: DataFrame, n: int, t: Fraction, ranks: Ranks, size: int) -> DataFrame:
+    """gram_pairs of records of about so many characters."""
+    partitions = max(min(SPREAD, runtime.cores(records.sparkSession)), -(-size // PART_CHARS))
+    parts = matched_records(gram_rows(records, n, t, ranks, partitions), t, partitions)
     # A partition that does not give the pair holds fewer than k / partitions of its n-grams.
     unseen = (F.lit(partitions) - F.count("*")) * (F.ceil(F.max("k") / partitions) - 1)
     return parts.groupBy("a", "b").agg((F.sum("shared") + unseen >= F.max("k")).alias("may")).where("may").select("a", "b")
@@ -284,7 +311,12 @@ def overlapping_records(records: DataFrame, n: int, above: float) -> DataFrame:
         .where(F.col("fraction") >= FRACTION)
     )
     both = fractions.select("a", "b", "fraction").unionByName(gram_pairs(records, n, t).withColumn("fraction", F.lit(0.0)))
-    pairs = runtime.materialize(both.groupBy("a", "b").agg(F.max("fraction").alias("fraction")), "overlaps")
+    return verified_records(both.groupBy("a", "b").agg(F.max("fraction").alias("fraction")), records, n, t)
+
+
+def verified_records(pairs: DataFrame, records: DataFrame, n: int, t: Fraction) -> DataFrame:
+    """(a, b, fraction, similarity): the pairs(a, b, fraction) whose exact similarity is above t."""
+    pairs = runtime.materialize(pairs, "overlaps")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     if 2 * pairs.count() <= SENT_IDS:
         wanted = F.broadcast(wanted)

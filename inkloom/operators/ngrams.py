@@ -5,11 +5,14 @@ N-grams travel as 64-bit hashes; results are exact up to collisions.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import runtime
 from ..functions import text as T
+from ..llm import near_dup, split_overlap
 
 
 def gram_rows(texts: DataFrame, key: str, n: int, column: str = "text") -> DataFrame:
@@ -118,24 +121,38 @@ def similar_pairs(texts: DataFrame, key: str, n: int = 5, threshold: float = 0.8
     return _expanded(class_pairs(classes, n, threshold), rows.select("id", key).distinct(), key)
 
 
-def cross_pairs(texts: DataFrame, key: str, side: str, n: int, threshold: float, column: str = "text") -> DataFrame:
-    """a, b, side_a, side_b, jaccard: pairs of at least the threshold whose keys lie on different sides.
+def cross_pairs(texts: DataFrame, parts: DataFrame, key: str, side: str, n: int, above: float, column: str = "text") -> DataFrame:
+    """a, b, side_a, side_b, jaccard: pairs above a limit whose keys lie on different sides.
 
-    ``texts`` has one row a key and side; sides are few (a bit each).
+    ``texts`` has key and text, ``parts`` key and side; sides are few (a bit each). Equal texts are compared once. Sides
+    are compared one by one with all later ones, by packed prefixes (``split_overlap.gram_pairs``), so that no table of all n-grams is written.
     """
-    rows = _classes(texts.select(key, side, F.col(column).alias("_t")), n, "_t")
-    names = sorted(r[0] for r in texts.select(side).where(F.col(side).isNotNull()).distinct().collect())  # few by definition
-    bit = F.element_at(F.create_map(*(x for i, s in enumerate(names) for x in (F.lit(s), F.lit(1 << i)))), F.col(side)) if names else F.lit(0)
-    classes = rows.where(F.col(side).isNotNull()).groupBy("id").agg(F.first("text").alias("text"), F.bit_or(bit).alias("mask"))
-    members = rows.where(F.col(side).isNotNull()).select("id", key, side).distinct()
-    links = class_pairs(classes, n, threshold)
+    t = Fraction(str(above))
+    parts = parts.select(key, side).where(F.col(key).isNotNull() & F.col(side).isNotNull()).distinct()
+    # The largest first, so that later passes are small; few by definition.
+    names = [r[0] for r in parts.groupBy(side).agg(F.count("*").alias("n")).orderBy(F.desc("n"), side).collect()]
+    bit = F.element_at(F.create_map(*(x for i, s in enumerate(names) for x in (F.lit(s), F.lit(1 << i).cast("long")))), F.col(side)) if names else F.lit(0).cast("long")
+    squeezed = texts.select(key, F.regexp_replace(column, T.SPACE + "+", "").alias("body")).where("body <> ''")
+    bodies = runtime.materialize(squeezed.select(key, "body", F.xxhash64("body").alias("text"), F.monotonically_increasing_id().alias("id")), "bodies")
+    held = bodies.select(key, "text", "id").join(parts, key)
+    first = runtime.materialize(held.groupBy("text").agg(F.min("id").alias("id"), F.bit_or(bit).alias("mask")), "first")
+    kept = first.select("id", "mask")
+    records = bodies.select("id", "body").join(F.broadcast(kept) if first.count() <= near_dup.SENT_IDS else kept, "id")
+    links = None
+    for i in range(len(names) - 1):
+        own, later = F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.shiftright("mask", i + 1) > 0
+        sided = records.select("id", "body", own.alias("in_train"), later.alias("in_eval")).where("in_train or in_eval")
+        found = split_overlap.verified_records(split_overlap.gram_pairs(sided, n, t).withColumn("fraction", F.lit(0.0)), sided, n, t)
+        links = runtime.materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("similarity").alias("jaccard")), "links", links)
+        runtime.free_shuffles(texts.sparkSession)
+    members = runtime.materialize(held.select(key, side, "text").join(first.select("text", "id"), "text").select("id", key, side).distinct(), "members")
     x, y = (members.select(F.col("id").alias(c), F.col(key).alias(k), F.col(side).alias(f"side_{c}")) for c, k in (("a", "x"), ("b", "y")))
-    across = links.join(x, "a").join(y, "b").where("x <> y and side_a <> side_b")
-    same = x.join(y, x["a"] == y["b"]).where("x <> y and side_a <> side_b").withColumn("jaccard", F.lit(1.0))
-    both = across.select("x", "y", "side_a", "side_b", "jaccard").unionByName(same.select("x", "y", "side_a", "side_b", "jaccard"))
-    first = F.col("x") < F.col("y")
-    return both.select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("side_a")).otherwise(F.col("side_b")).alias("side_a"), F.when(first, F.col("side_b")).otherwise(F.col("side_a")).alias("side_b"), "jaccard"
+    both = x.join(y, x["a"] == y["b"]).select("x", "y", "side_a", "side_b", F.lit(1.0).alias("jaccard"))
+    if links is not None:
+        both = both.unionByName(links.distinct().join(x, "a").join(y, "b").select("x", "y", "side_a", "side_b", "jaccard"))
+    first_x = F.col("x") < F.col("y")
+    return both.where("x <> y and side_a <> side_b").select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first_x, F.col("side_a")).otherwise(F.col("side_b")).alias("side_a"), F.when(first_x, F.col("side_b")).otherwise(F.col("side_a")).alias("side_b"), "jaccard"
     ).distinct()
 
 

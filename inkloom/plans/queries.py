@@ -264,9 +264,14 @@ _BODY = "coalesce(list_aggregate(list_transform(list_filter(blocks, lambda b: b.
 _BODIES = f"SELECT DISTINCT article_id, {_BODY} AS body FROM clean WHERE blocks IS NOT NULL"
 
 
-def _bodies(spark, folder) -> DataFrame:
+def _body_rows(spark, folder) -> DataFrame:
+    """Bodies with repeated rows, for operators that compare equal texts once: no shuffle of all texts."""
     c = runtime.table(spark, folder, "clean").where("blocks is not null")
-    return c.select("article_id", corpus.body_text(F.col("blocks")).alias("body")).distinct()
+    return c.select("article_id", corpus.body_text(F.col("blocks")).alias("body"))
+
+
+def _bodies(spark, folder) -> DataFrame:
+    return _body_rows(spark, folder).distinct()
 
 
 @query(f"SELECT article_id, length(body) AS n, sha256(body) AS h FROM ({_BODIES})")
@@ -398,14 +403,13 @@ _LEAKS = f"""b AS ({_BODIES}), g AS ({_grams(8, 'article_id', 'body', 'b')}), {_
 
 
 def _leaks(spark, folder) -> Callable[[float], DataFrame]:
-    parts = runtime.table(spark, folder, "splits").select("article_id", "split").where("article_id is not null and split is not null").distinct()
-    texts = runtime.materialize(_bodies(spark, folder).join(parts, "article_id"), "split_texts")
-    return lambda t: ngrams.cross_pairs(texts, "article_id", "split", 8, t, "body")
+    """Pairs above a limit."""
+    return lambda t: ngrams.cross_pairs(_body_rows(spark, folder), runtime.table(spark, folder, "splits"), "article_id", "split", 8, t, "body")
 
 
 @query(f"WITH {_LEAKS} SELECT a, b, split_a, split_b, round(jaccard, 4) AS jaccard FROM l WHERE jaccard > 0.3")
 def leak_pairs(spark, folder):
-    pairs = _leaks(spark, folder)(0.3).where("jaccard > 0.3")
+    pairs = _leaks(spark, folder)(0.3)
     return _r(pairs.select("a", "b", F.col("side_a").alias("split_a"), F.col("side_b").alias("split_b"), "jaccard"), 4)
 
 
