@@ -74,7 +74,7 @@ def chronological_split(articles: DataFrame, group: str, unit: str, order: Colum
 def leak_summary(pairs_above: Callable[[float], DataFrame], limit: float = 0.3, lower: tuple[float, ...] = (0.05, 0.0)) -> DataFrame:
     """max_jaccard, leaks, passed over all cross-split pairs; without a pair that shares anything the maximum is 0.
 
-    ``pairs_above(t)`` gives the pairs(jaccard) of at least t. As the maximum lies among the pairs above any
+    ``pairs_above(t)`` gives the pairs(jaccard) above t. As the maximum lies among the pairs above any
     limit that some pair reaches, lower limits, which cost more, are tried only while no pair is found.
     """
     for t in (limit, *lower):

@@ -67,3 +67,8 @@ def test_cross_pairs_equal_brute_force(spark, texts, monkeypatch, above, rounds)
 def test_leak_pairs_write_no_table_of_ngrams(spark, small, written):
     assert Q.QUERIES["leak_pairs"](spark, small).count() > 0
     assert written and max(written.values()) <= 2 * runtime.table(spark, small, "clean").count()
+
+
+def test_leak_summary_writes_no_table_of_ngrams(spark, small, written):
+    assert Q.QUERIES["leak_summary"](spark, small).first()["leaks"] > 0
+    assert written and max(written.values()) <= 2 * runtime.table(spark, small, "clean").count()
