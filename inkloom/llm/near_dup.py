@@ -45,6 +45,8 @@ LOCAL = 16
 SENT_IDS = 1 << 20
 #: Most n-grams a counter of a sketch, on average; a sketch has a power of two of counters, 16 at least.
 LOAD = 8
+#: Characters of a block of texts; pairs of blocks are compared in rounds.
+ROUND_CHARS = 48_000_000
 #: Prefix n-grams a partition is made for, and those packed at once.
 PART_ROWS, FLUSH = 2_000_000, 1 << 21
 
@@ -261,8 +263,11 @@ def _cells(g, own, sizes, where, blocks):
     return [np.concatenate(x) for x in zip(*out)]
 
 
-def matched_pairs(rows: DataFrame, threshold: Fraction, partitions: int) -> DataFrame:
-    """(a, b): classes that share a prefix n-gram and pass the length, positional and suffix filter at it."""
+def matched_pairs(rows: DataFrame, threshold: Fraction, partitions: int, blocks: int = 1, across: bool = False) -> DataFrame:
+    """(a, b): classes that share a prefix n-gram and pass the length, positional and suffix filter at it.
+
+    With ``across``, only classes of different blocks (id modulo ``blocks``).
+    """
     num, den = threshold.numerator, threshold.denominator
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,6 +290,9 @@ def matched_pairs(rows: DataFrame, threshold: Fraction, partitions: int) -> Data
             # Suffix filter: what stands before and after it differs in at most (1 - t) / (1 + t) of both sizes.
             near &= (np.abs(pos[a] - pos[b]) + np.abs(rest_a - rest_b)) * (den + num) <= both * (den - num)
             x, y = ident[a[near]], ident[b[near]]
+            if across:
+                apart = x % blocks != y % blocks
+                x, y = x[apart], y[apart]
             x, y = np.minimum(x, y), np.maximum(x, y)
             order = np.lexsort((y, x))
             x, y = x[order], y[order]
@@ -425,13 +433,37 @@ def near_duplicates(bodies: DataFrame, n: int = 5, threshold: float = 0.8, min_c
     texts = runtime.materialize(with_sketch(runtime.spread(kept), n), "texts")
     one = first_rows(texts)
     size = one.agg(F.sum("chars")).first()[0] or 0
-    partitions = max(runtime.shuffle_partitions(spark), math.ceil(size * (1 - float(t)) / PART_ROWS))
-    rows = prefix_rows(one, n, t, rarity(one, n), partitions)
     sized = one.withColumn("size", F.greatest(F.lit(1), F.col("chars") - (n - 1)))
-    pairs = candidate_pairs(matched_pairs(rows, t, partitions), sized, t)
+    pairs = _pairs_in_rounds(one, sized, n, t, rarity(one, n), size)
     return texts.select("article_id", "id").distinct(), verified_pairs(pairs, one, n, t)
 
 
+def _pairs_in_rounds(one: DataFrame, sized: DataFrame, n: int, t: Fraction, ranks: Ranks, size: int) -> DataFrame:
+    """(a, b): candidate pairs of all texts of so many characters.
+
+    Texts that share an n-gram by chance grow with the square of the input, and so would one shuffle of them. So texts are cut
+    into blocks of about ``ROUND_CHARS``: each block's prefixes are written once, pairs of blocks are compared one after
+    the other, and what the sketches leave of a round is kept while its shuffle is freed.
+    """
+    spark = one.sparkSession
+    blocks = max(1, -(-size // ROUND_CHARS))
+    in_round = size if blocks == 1 else 2 * size // blocks
+    partitions = max(runtime.shuffle_partitions(spark), math.ceil(in_round * (1 - float(t)) / PART_ROWS))
+    if blocks == 1:
+        return candidate_pairs(matched_pairs(prefix_rows(one, n, t, ranks, partitions), t, partitions), sized, t)
+    of = lambda i: F.pmod("id", F.lit(blocks)) == i
+    rows = [runtime.materialize(prefix_rows(one.where(of(i)), n, t, ranks, partitions), "prefix") for i in range(blocks)]
+    out = None
+    for i in range(blocks):
+        for j in range(i, blocks):
+            matches = matched_pairs(rows[i] if i == j else rows[i].unionByName(rows[j]), t, partitions, blocks, i != j)
+            out = runtime.materialize(candidate_pairs(matches, sized.where(of(i) | of(j)), t), "round", out)
+            del matches
+            runtime.free_shuffles(spark)
+    runtime.drop(*rows)
+    return out
+
+
 def first_rows(texts: DataFrame) -> DataFrame:
     """One row of ``texts(id, row, ...)`` for each id. What is shuffled is ids and row numbers, not texts.
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import runtime
@@ -48,57 +48,6 @@ def best_source(contained: DataFrame, a: str, b: str) -> DataFrame:
     return contained.withColumn("r", F.row_number().over(w)).where("r = 1").select(a, F.col(b).alias("source"), F.col("containment").alias("best"))
 
 
-#: An n-gram of more texts than this is joined in blocks of about so many.
-HOT = 4096
-
-
-def _blocked(rows: DataFrame) -> DataFrame:
-    """Rows (g, df, id, ...) with block, nb and cell: those of a hot n-gram go to each cell of a triangular grid.
-
-    Two rows of one n-gram meet in the cell of their blocks; ``_once`` keeps the pairs that belong there.
-    """
-    nb = F.ceil(F.col("df") / HOT).cast("int")
-    out = rows.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.least(F.col("block"), j) * F.col("nb") + F.greatest(F.col("block"), j))
-    return out.withColumn("cell", F.explode(cells))
-
-
-def _once(block_a: Column, block_b: Column, cell: Column, nb: Column) -> Column:
-    return cell == F.least(block_a, block_b) * nb + F.greatest(block_a, block_b)
-
-
-def class_pairs(classes: DataFrame, n: int, threshold: float) -> DataFrame:
-    """a, b, jaccard: pairs of classes(id, text, mask) of at least the threshold: prefix, length and positional filter.
-
-    Masks are sets of bits: a pair counts if both together have two bits at least (3 for classes that may pair
-    with any other, one bit a side where only pairs across sides count). N-grams are ranked rare first; a pair
-    that reaches the threshold shares one of both prefixes.
-    """
-    hashed = F.array_distinct(F.transform(T.ngrams(F.col("text"), n), lambda g: F.xxhash64(g)))
-    grams = runtime.materialize(classes.select("id", F.explode(hashed).alias("g")), "grams")
-    df = grams.groupBy("g").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("id")
-    ranked = grams.join(df, "g").withColumn("size", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("df", "g")))
-    within = F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
-    prefix = ranked.where(within & (F.col("df") > 1)).join(classes.select("id", "mask"), "id").select("g", "df", "id", "mask", "size", "rank")
-    rows = runtime.materialize(_blocked(prefix), "prefix")
-    x = rows.select("g", "cell", "nb", F.col("block").alias("block_a"), F.col("id").alias("a"), F.col("mask").alias("mask_a"), F.col("size").alias("n_a"), F.col("rank").alias("r_a"))
-    y = rows.select("g", "cell", F.col("block").alias("block_b"), F.col("id").alias("b"), F.col("mask").alias("mask_b"), F.col("size").alias("n_b"), F.col("rank").alias("r_b"))
-    t = threshold / (1 + threshold)
-    rest = F.least(F.col("n_a") - F.max("r_a"), F.col("n_b") - F.max("r_b"))
-    # At the first shared gram the overlap is at most the smaller rest; earlier shared grams pass as well.
-    reach = F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b")) + 1 >= (F.col("n_a") + F.col("n_b")) * t - 1e-9
-    close = (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
-    sides = F.bit_count(F.col("mask_a").bitwiseOR(F.col("mask_b"))) >= 2
-    meets = (F.col("a") < F.col("b")) & close & reach & sides & _once(F.col("block_a"), F.col("block_b"), F.col("cell"), F.col("nb"))
-    candidates = x.join(y, ["g", "cell"]).where(meets).groupBy("a", "b", "n_a", "n_b").agg((F.count("*") + rest).alias("most")).where(F.col("most") >= (F.col("n_a") + F.col("n_b")) * t - 1e-9)
-    # Verification: each side's n-grams once a pair, as sorted arrays.
-    sets = grams.groupBy("id").agg(F.collect_list("g").alias("s"))  # of one text
-    both = candidates.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
-    scored = both.select("a", "b", T.jaccard(F.col("s_a"), F.col("s_b")).alias("jaccard"))
-    return scored.where(F.col("jaccard") >= threshold)
-
-
 def _expanded(links: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """Pairs of members(id, key) of different linked classes and, with similarity 1, of one class."""
     x, y = members.select(F.col("id").alias("a"), F.col(key).alias("x")), members.select(F.col("id").alias("b"), F.col(key).alias("y"))
@@ -108,17 +57,30 @@ def _expanded(links: DataFrame, members: DataFrame, key: str) -> DataFrame:
     return out.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("jaccard").alias("jaccard"))
 
 
-def _classes(texts: DataFrame, n: int, column: str) -> DataFrame:
-    """texts with id, the class of texts that are equal but for white space; texts without n-grams are left out."""
-    squeezed = F.regexp_replace(column, T.SPACE + "+", "")
-    return texts.withColumn("text", squeezed).where(F.col("text") != "").withColumn("id", F.xxhash64("text"))
+def _similar_classes(texts: DataFrame, key: str, n: int, threshold: float, column: str) -> tuple[DataFrame, DataFrame]:
+    """members(id, key) of classes of texts that are equal but for white space, and links(a, b, jaccard) between classes.
+
+    Texts without n-grams are left out. By ``near_dup``: packed rare-first prefixes, in rounds, pairs verified once.
+    """
+    bodies = texts.where(F.col(key).isNotNull()).select(F.col(key).alias("article_id"), F.regexp_replace(column, T.SPACE + "+", "").alias("body"))
+    members, links = near_dup.near_duplicates(bodies, n, threshold, 1)
+    return members.select("id", F.col("article_id").alias(key)), links.withColumnRenamed("similarity", "jaccard")
 
 
 def similar_pairs(texts: DataFrame, key: str, n: int = 5, threshold: float = 0.8, column: str = "text") -> DataFrame:
     """a, b, jaccard of different keys with Jaccard of at least the threshold. Equal texts are compared once."""
-    rows = _classes(texts.select(key, F.col(column).alias("_t")), n, "_t")
-    classes = rows.groupBy("id").agg(F.first("text").alias("text")).withColumn("mask", F.lit(3))
-    return _expanded(class_pairs(classes, n, threshold), rows.select("id", key).distinct(), key)
+    members, links = _similar_classes(texts, key, n, threshold, column)
+    return _expanded(links, members, key)
+
+
+def similar_edges(texts: DataFrame, key: str, n: int = 5, threshold: float = 0.8, column: str = "text") -> DataFrame:
+    """a, b: edges that connect the same keys as ``similar_pairs``: each class's keys to its least, and the least of linked classes."""
+    members, links = _similar_classes(texts, key, n, threshold, column)
+    members = runtime.materialize(members, "members")
+    least = members.groupBy("id").agg(F.min(key).alias("least"))
+    a, b = (least.select(F.col("id").alias(c), F.col("least").alias(f"least_{c}")) for c in ("a", "b"))
+    own = members.join(least, "id").select(F.col("least").alias("a"), F.col(key).alias("b"))
+    return own.unionByName(links.join(a, "a").join(b, "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))).where("a <> b")
 
 
 def cross_pairs(texts: DataFrame, parts: DataFrame, key: str, side: str, n: int, above: float, column: str = "text") -> DataFrame:

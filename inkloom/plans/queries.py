@@ -370,13 +370,13 @@ _PAIRS = """n AS (SELECT article_id, count(*) AS n FROM g GROUP BY article_id),
 _NEAR = f"b AS ({_BODIES}), g AS ({_grams(5, 'article_id', 'body', 'b')}), {_PAIRS}, near AS (SELECT * FROM j WHERE jaccard >= 0.8)"
 
 
-def _near(spark, folder) -> DataFrame:
-    return ngrams.similar_pairs(_bodies(spark, folder), "article_id", 5, 0.8, "body")
+def _near_clusters(spark, folder) -> DataFrame:
+    return ngrams.components(ngrams.similar_edges(_body_rows(spark, folder), "article_id", 5, 0.8, "body"))
 
 
 @query(f"WITH {_NEAR} SELECT a, b, round(jaccard, 6) AS jaccard FROM near")
 def near_dup_pairs(spark, folder):
-    return _r(_near(spark, folder))
+    return _r(ngrams.similar_pairs(_body_rows(spark, folder), "article_id", 5, 0.8, "body"))
 
 
 _CLUSTERS = f"""WITH RECURSIVE {_NEAR}, e AS (SELECT a AS x, b AS y FROM near UNION SELECT b, a FROM near),
@@ -385,7 +385,7 @@ _CLUSTERS = f"""WITH RECURSIVE {_NEAR}, e AS (SELECT a AS x, b AS y FROM near UN
 
 @query(f"{_CLUSTERS} SELECT id, root FROM c")
 def near_dup_clusters(spark, folder):
-    return ngrams.components(_near(spark, folder))
+    return _near_clusters(spark, folder)
 
 
 @query(
@@ -394,7 +394,7 @@ def near_dup_clusters(spark, folder):
 )
 def canonical_articles(spark, folder):
     days = runtime.table(spark, folder, "manifest").groupBy("article_id").agg(F.min("published_at").alias("day"))
-    members = ngrams.components(_near(spark, folder)).join(days.withColumnRenamed("article_id", "id"), "id", "left")
+    members = _near_clusters(spark, folder).join(days.withColumnRenamed("article_id", "id"), "id", "left")
     return ngrams.canonical(members, "root", "id", "day")
 
 

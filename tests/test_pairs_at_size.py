@@ -5,7 +5,7 @@ import random
 import pytest
 
 from inkloom import runtime
-from inkloom.llm import split_overlap
+from inkloom.llm import near_dup, split_overlap
 from inkloom.operators import ngrams
 from inkloom.plans import queries as Q
 
@@ -72,3 +72,17 @@ def test_leak_pairs_write_no_table_of_ngrams(spark, small, written):
 def test_leak_summary_writes_no_table_of_ngrams(spark, small, written):
     assert Q.QUERIES["leak_summary"](spark, small).first()["leaks"] > 0
     assert written and max(written.values()) <= 2 * runtime.table(spark, small, "clean").count()
+
+
+@pytest.mark.parametrize("rounds", [48_000_000, 2500])
+def test_similar_pairs_in_rounds_equal_brute_force(spark, texts, monkeypatch, rounds):
+    monkeypatch.setattr(near_dup, "ROUND_CHARS", rounds)
+    body = dict(texts)
+    want = {(a, b, round(jaccard(body[a], body[b], 5), 9)) for a in body for b in body if a < b and jaccard(body[a], body[b], 5) >= 0.8}
+    got = [(r["a"], r["b"], round(r["jaccard"], 9)) for r in ngrams.similar_pairs(spark.createDataFrame(texts, "k string, text string"), "k").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len({x for p in want for x in p[:2]}) > 20
+
+
+def test_near_dup_pairs_write_no_table_of_ngrams(spark, small, written):
+    assert Q.QUERIES["near_dup_pairs"](spark, small).count() > 0
+    assert written and max(written.values()) <= 2 * runtime.table(spark, small, "clean").count()
