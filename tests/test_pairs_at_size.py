@@ -86,3 +86,16 @@ def test_similar_pairs_in_rounds_equal_brute_force(spark, texts, monkeypatch, ro
 def test_near_dup_pairs_write_no_table_of_ngrams(spark, small, written):
     assert Q.QUERIES["near_dup_pairs"](spark, small).count() > 0
     assert written and max(written.values()) <= 2 * runtime.table(spark, small, "clean").count()
+
+
+def test_edges_connect_what_pairs_connect(spark, texts):
+    df = spark.createDataFrame([*texts, *((f"copy{i}", texts[0][1]) for i in range(30))], "k string, text string")
+    edges = ngrams.similar_edges(df, "k")
+    assert edges.count() < 120 < ngrams.similar_pairs(df, "k").count()
+    rows = lambda e: {tuple(r) for r in ngrams.components(e).collect()}
+    assert rows(edges) == rows(ngrams.similar_pairs(df, "k"))
+
+
+def test_near_dup_clusters_write_no_table_of_ngrams(spark, small, written):
+    assert Q.QUERIES["near_dup_clusters"](spark, small).count() > 0
+    assert written and max(written.values()) <= 2 * runtime.table(spark, small, "clean").count()
