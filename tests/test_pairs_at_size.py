@@ -99,3 +99,17 @@ def test_edges_connect_what_pairs_connect(spark, texts):
 def test_near_dup_clusters_write_no_table_of_ngrams(spark, small, written):
     assert Q.QUERIES["near_dup_clusters"](spark, small).count() > 0
     assert written and max(written.values()) <= 2 * runtime.table(spark, small, "clean").count()
+
+
+def test_partitions_of_ngrams_do_not_follow_shuffle_partitions(spark, texts, monkeypatch):
+    """p6: counts by partition rule out hardly any pair where the partitions are many."""
+    seen, real = [], split_overlap.matched_records
+    monkeypatch.setattr(split_overlap, "matched_records", lambda rows, t, partitions: seen.append(partitions) or real(rows, t, partitions))
+    records = spark.createDataFrame([(i, t, i % 2 == 0, i % 2 == 1) for i, (_, t) in enumerate(texts)], "id long, body string, in_train boolean, in_eval boolean")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 200)
+    try:
+        split_overlap.gram_pairs(records, 8, split_overlap.Fraction("0.3"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen and max(seen) <= split_overlap.SPREAD
