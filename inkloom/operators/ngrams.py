@@ -5,14 +5,17 @@ N-grams travel as 64-bit hashes; results are exact up to collisions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import runtime
 from ..functions import text as T
-from ..llm import near_dup, split_overlap
+from ..llm import near_dup, split_overlap, vec
 
 
 def gram_rows(texts: DataFrame, key: str, n: int, column: str = "text") -> DataFrame:
@@ -32,14 +35,61 @@ def _shared(left: DataFrame, right: DataFrame, a: str, b: str, n: int) -> DataFr
     return la.join(rb, "g").groupBy(a, b).agg(F.count("*").alias("shared")).join(n_a, a).join(n_b, b)
 
 
-def jaccard_pairs(left: DataFrame, right: DataFrame, a: str, b: str, n: int) -> DataFrame:
-    """a, b, jaccard of texts(key, text) that share an n-gram; all other pairs are 0."""
-    return _shared(left, right, a, b, n).select(a, b, (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("jaccard"))
+def shared_with_few(left: DataFrame, right: DataFrame, a: str, b: str, n: int) -> DataFrame:
+    """a, b, shared, n_a, n_b by rows of ``right``: numbers of n-grams that each text shares with the texts of ``left``, which are broadcast.
 
-
-def containments(parts: DataFrame, sources: DataFrame, a: str, b: str, n: int) -> DataFrame:
-    """a, b, containment: the share of a's n-grams that b has, for pairs that share one."""
-    return _shared(parts, sources, a, b, n).select(a, b, (F.col("shared") / F.col("n_a")).alias("containment"))
+    One pass over ``right`` without a shuffle; texts are taken as they are, one row a key of ``right``.
+    """
+    spark = left.sparkSession
+    held: dict = {}
+    for k, text in left.select(a, "text").where(F.col(a).isNotNull() & F.col("text").isNotNull()).collect():  # few, counted by the caller
+        held.setdefault(k, []).append(vec.gram_sets([text], n)[0])
+    sets = [np.unique(np.concatenate(x)) for x in held.values()]
+    grams, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (sets, [np.full(len(x), i, np.int64) for i, x in enumerate(sets)]))
+    order = np.argsort(grams, kind="stable")
+    keys, first = np.unique(grams[order], return_index=True)
+    index = spark.sparkContext.broadcast((keys, np.append(first, len(grams)), owner[order], len(sets)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ends, owner, m = index.value
+        if not len(keys):
+            return
+        for batch in vec.slices(batches, "text"):
+            grams, offsets = vec.gram_sets([t or "" for t in batch.column("text").to_pylist()], n)
+            size = np.diff(offsets)
+            at = np.searchsorted(keys, grams)
+            at[at == len(keys)] = 0
+            hit = keys[at] == grams
+            at, own = at[hit], np.repeat(np.arange(len(size)), size)[hit]
+            count = ends[at + 1] - ends[at]
+            place = np.arange(int(count.sum())) + np.repeat(ends[at] - (np.cumsum(count) - count), count)
+            pair, shared = np.unique(np.repeat(own, count) * m + owner[place], return_counts=True)
+            doc, i = np.divmod(pair, m)
+            yield pa.RecordBatch.from_arrays([pa.array(i), batch.column(b).take(pa.array(doc)), pa.array(shared.astype(np.int64)), pa.array(size[doc])], names=["_i", b, "shared", "n_b"])
+
+    named = spark.createDataFrame([(i, k, len(x)) for i, (k, x) in enumerate(zip(held, sets))], f"_i bigint, `{a}` {left.schema[a].dataType.simpleString()}, n_a bigint")
+    found = right.select(b, "text").mapInArrow(run, f"_i bigint, `{b}` {right.schema[b].dataType.simpleString()}, shared bigint, n_b bigint")
+    return found.join(F.broadcast(named), "_i").select(a, b, "shared", "n_a", "n_b")
+
+
+def _shared_few(left: DataFrame, right: DataFrame, a: str, b: str, n: int) -> DataFrame:
+    """_shared for few texts of ``left``; keys of ``right`` with several texts go the general way."""
+    several = runtime.materialize(right.groupBy(b).agg(F.count("*").alias("n")).where("n > 1").select(b), "several")
+    squeezed = lambda df, k: df.select(k, F.regexp_replace("text", T.SPACE + "+", "").alias("text"))
+    one = shared_with_few(squeezed(left, a), squeezed(right.join(several, b, "left_anti"), b), a, b, n)
+    return one if several.isEmpty() else one.unionByName(_shared(left, right.join(several, b, "left_semi"), a, b, n))
+
+
+def jaccard_pairs(left: DataFrame, right: DataFrame, a: str, b: str, n: int, few: bool = False) -> DataFrame:
+    """a, b, jaccard of texts(key, text) that share an n-gram; all other pairs are 0. With ``few``, ``left`` is broadcast."""
+    shared = _shared_few if few else _shared
+    return shared(left, right, a, b, n).select(a, b, (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("jaccard"))
+
+
+def containments(parts: DataFrame, sources: DataFrame, a: str, b: str, n: int, few: bool = False) -> DataFrame:
+    """a, b, containment: the share of a's n-grams that b has, for pairs that share one. With ``few``, ``parts`` are broadcast."""
+    shared = _shared_few if few else _shared
+    return shared(parts, sources, a, b, n).select(a, b, (F.col("shared") / F.col("n_a")).alias("containment"))
 
 
 def best_source(contained: DataFrame, a: str, b: str) -> DataFrame:

@@ -249,11 +249,12 @@ def paragraph_containment(spark, folder):
 @query()
 def copy_gate(spark, folder):
     d, i = _documents(spark, folder), _items(spark, folder)
-    exact = overlap.exact_matches(i, d, "item_id", "doc_id", decisions.COPY["exact"] + 1)
+    few = i.count() <= overlap.FEW
+    exact = overlap.exact_matches(i, d, "item_id", "doc_id", decisions.COPY["exact"] + 1, few)
     parts = decisions.paragraphs(i, "item_id").withColumn("part", F.struct("item_id", "para"))
-    best = ngrams.best_source(ngrams.containments(parts, d, "part", "doc_id", 5), "part", "doc_id").select("part.item_id", "best")
-    minhash = overlap.minhash_similarity(overlap.signatures(i, "item_id"), overlap.signatures(d, "doc_id"), "item_id", "doc_id")
-    return decisions.copy_gate(exact, ngrams.jaccard_pairs(i, d, "item_id", "doc_id", 5), minhash, best, i, "item_id")
+    best = ngrams.best_source(ngrams.containments(parts, d, "part", "doc_id", 5, few), "part", "doc_id").select("part.item_id", "best")
+    minhash = overlap.minhash_similarity(overlap.signatures(i, "item_id"), overlap.signatures(d, "doc_id"), "item_id", "doc_id", few)
+    return decisions.copy_gate(exact, ngrams.jaccard_pairs(i, d, "item_id", "doc_id", 5, few), minhash, best, i, "item_id")
 
 
 @query("SELECT kind, count(*) AS n FROM (SELECT 'both' AS kind, article_id FROM (SELECT article_id FROM splits WHERE split = 'train' UNION SELECT article_id FROM splits WHERE split = 'dev') UNION ALL SELECT 'shared', article_id FROM (SELECT article_id FROM splits WHERE split = 'train' INTERSECT SELECT article_id FROM splits WHERE split <> 'train') UNION ALL SELECT 'train_only', article_id FROM (SELECT article_id FROM splits WHERE split = 'train' EXCEPT SELECT article_id FROM splits WHERE split <> 'train')) GROUP BY kind")

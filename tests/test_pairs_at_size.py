@@ -6,7 +6,7 @@ import pytest
 
 from inkloom import runtime
 from inkloom.llm import near_dup, split_overlap
-from inkloom.operators import ngrams
+from inkloom.operators import ngrams, overlap
 from inkloom.plans import queries as Q
 
 
@@ -113,3 +113,19 @@ def test_partitions_of_ngrams_do_not_follow_shuffle_partitions(spark, texts, mon
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen and max(seen) <= split_overlap.SPREAD
+
+
+def test_copy_checks_with_few_texts_equal_joins(spark):
+    rng = random.Random(5)
+    make = lambda k: "".join(rng.choice("abcdeあ😀 \n") for _ in range(k))
+    docs = [(i, make(rng.randint(1, 90))) for i in range(40)]
+    items = [(i, docs[i][1][:60] + make(9)) for i in range(6)] + [(6, "ab"), (7, " "), (1, "zzzzzz" + docs[9][1])]
+    docs += [(3, make(50)), (41, "ab"), (42, "")]
+    i, d = spark.createDataFrame(items, "item int, text string"), spark.createDataFrame(docs, "doc int, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for f in (ngrams.jaccard_pairs, ngrams.containments):
+        assert rows(f(i, d, "item", "doc", 5, True)) == rows(f(i, d, "item", "doc", 5)) != []
+        assert rows(f(i.limit(0), d, "item", "doc", 5, True)) == []
+    assert rows(overlap.exact_matches(i, d, "item", "doc", 8, True)) == rows(overlap.exact_matches(i, d, "item", "doc", 8)) != []
+    sides = [overlap.signatures(i, "item"), overlap.signatures(d, "doc")]
+    assert rows(overlap.minhash_similarity(*sides, "item", "doc", True)) == rows(overlap.minhash_similarity(*sides, "item", "doc")) != []
