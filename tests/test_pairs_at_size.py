@@ -129,3 +129,8 @@ def test_copy_checks_with_few_texts_equal_joins(spark):
     assert rows(overlap.exact_matches(i, d, "item", "doc", 8, True)) == rows(overlap.exact_matches(i, d, "item", "doc", 8)) != []
     sides = [overlap.signatures(i, "item"), overlap.signatures(d, "doc")]
     assert rows(overlap.minhash_similarity(*sides, "item", "doc", True)) == rows(overlap.minhash_similarity(*sides, "item", "doc")) != []
+
+
+def test_canonical_articles_write_no_table_of_ngrams(spark, small, written):
+    assert Q.QUERIES["canonical_articles"](spark, small).count() > 0
+    assert written and max(written.values()) <= 2 * runtime.table(spark, small, "clean").count()
